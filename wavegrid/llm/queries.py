@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.llm import chat_format, mixing, sharding, url_filter
+from wavegrid.llm import chat_format, mixing, ngram_join, sharding, url_filter
 
 #: Rules of op1, as the contract gives them.
 RULES = [
@@ -37,6 +37,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies")
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, threshold=85)
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
@@ -59,7 +63,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op6_mixing, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op6_mixing, op8_ngram_join, op9_chat_formatting)}
 
 
 _RULE_CASES = """
@@ -118,6 +122,23 @@ select doc_id, size, source_size, target,
   (floor(rate)::bigint + case when ('0x' || substr(md5('6:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint / 4294967296.0 < rate - floor(rate) then 1 else 0 end) * size as taken
 from (select d.doc_id, d.size, t.source_size, t.target, case when t.source_size > 0 then t.target / t.source_size else 0.0 end as rate
       from d join t on d.source is not distinct from t.source)""",
+        "op8_ngram_join": rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{words}') as words from documents),
+s as (
+  select distinct doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+    else list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) end) as shingle from w where words is not null),
+n as (select doc_id, count(*) as size from s group by doc_id),
+rare as (select shingle from s group by shingle having count(*) > 1),
+p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as common from (select * from s semi join rare using (shingle)) a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id
+  group by 1, 2),
+e as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 85 * (x.size + y.size - common)),
+both_ways as (select a, b from e union all select b, a from e),
+reach(a, b) as (select a, b from both_ways union select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a)
+select d.doc_id, coalesce(n.size, 0)::bigint as n_shingles, least(d.doc_id, coalesce(r.least_id, d.doc_id)) as component_id
+from documents d left join n on d.doc_id = n.doc_id left join (select a, min(b) as least_id from reach group by a) r on d.doc_id = r.a""",
         "op9_chat_formatting": r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
