@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.llm import chat_format, mixing, ngram_join, sharding, url_filter
+from wavegrid.llm import chat_format, language_id, mixing, ngram_join, sharding, url_filter
 
 #: Rules of op1, as the contract gives them.
 RULES = [
@@ -62,8 +62,16 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    held_out = language_id.fold(F.col("doc_id"), 3) == 1
+    model = language_id.train(docs.where(~held_out).select("text", "lang"))
+    out = language_id.classify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op6_mixing, op8_ngram_join, op9_chat_formatting)}
+    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op6_mixing, op8_ngram_join, op9_chat_formatting, op10_language_id)}
 
 
 _RULE_CASES = """
