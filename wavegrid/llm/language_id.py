@@ -139,44 +139,51 @@ def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order[:, 0], np.take_along_axis(share, order[:, :1], axis=1)[:, 0], lead
 
 
-def classify(docs: DataFrame, model: Model, margin: float = 0.1, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (doc_id) with lang_pred, score and ambiguous; texts are read whole."""
-    keep = keep or ["doc_id"]
-    fields = [docs.schema[c] for c in keep]
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)  # 2 * 2**16 features x bits, 4 bytes each
+def predict(texts: list[str | None], m: Model, margin: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, score, ambiguous) of whole texts."""
+    n, bits = len(texts), m.code.shape[1]
+    raw = [(x or "").encode() for x in texts]
+    lang, score, unsure = ["und"] * n, np.zeros(n), np.ones(n, bool)
+    for a, b in chunks(raw) if m.languages else ():
+        f, start, count = features(raw[a:b])
+        margins = np.zeros((b - a, bits), np.float64)
+        some = np.flatnonzero(count)
+        if len(some) and bits:
+            odds = m.weights[f[:, 0]] + m.weights[f[:, 1]]
+            margins[some] = SCALE * np.add.reduceat(odds, start[some], axis=0, dtype=np.float64) / (2 * count[some, None])
+        if len(m.languages) == 1:
+            best, conf, lead = np.zeros(b - a, int), np.ones(b - a), np.ones(b - a)
+        else:
+            best, conf, lead = decode(margins, m.code)
+        for i in range(b - a):
+            if has_letter(texts[a + i]):
+                lang[a + i], score[a + i], unsure[a + i] = m.languages[best[i]], conf[i], lead[i] < margin
+    return lang, score, unsure
+
+
+def classify(docs: DataFrame, model: Model, margin: float = 0.1) -> DataFrame:
+    """doc_id, lang_pred, score and ambiguous of each row of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * 2**16 features x bits, 4 bytes each
 
     def run(batches):
-        m = shared.value
-        bits = m.code.shape[1]
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            strings = texts.to_pylist()
-            raw = texts.cast(pa.binary()).to_pylist()
-            n = len(raw)
-            lang, score, unsure = ["und"] * n, np.zeros(n), np.ones(n, bool)
-            for a, b in chunks(raw) if m.languages else ():
-                f, start, count = features([x or b"" for x in raw[a:b]])
-                margins = np.zeros((b - a, bits), np.float64)
-                some = np.flatnonzero(count)
-                if len(some) and bits:
-                    odds = m.weights[f[:, 0]] + m.weights[f[:, 1]]
-                    margins[some] = SCALE * np.add.reduceat(odds, start[some], axis=0, dtype=np.float64) / (2 * count[some, None])
-                if len(m.languages) == 1:
-                    best, conf, lead = np.zeros(b - a, int), np.ones(b - a), np.ones(b - a)
-                else:
-                    best, conf, lead = decode(margins, m.code)
-                for i in range(b - a):
-                    if has_letter(strings[a + i]):
-                        lang[a + i], score[a + i], unsure[a + i] = m.languages[best[i]], conf[i], lead[i] < margin
-            out = [batch.column(i) for i in range(len(keep))] + [pa.array(lang), pa.array(score), pa.array(unsure)]
-            yield pa.RecordBatch.from_arrays(out, names=[*keep, "lang_pred", "score", "ambiguous"])
-
-    schema = docs.select(*keep).schema
-    for name, kind in (("lang_pred", "string"), ("score", "double"), ("ambiguous", "boolean")):
-        schema = schema.add(name, kind)
-    del fields
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, schema)
+            lang, score, unsure = predict(batch.column(1).to_pylist(), shared.value, margin)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_clear(docs: DataFrame, model: Model, margin: float = 0.1) -> DataFrame:
+    """The rows of docs whose language is found without ambiguity, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~predict(batch.column(text).to_pylist(), shared.value, margin)[2]))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fold(doc_id: Column, k: int) -> Column:

@@ -268,4 +268,11 @@ def join_components(documents: DataFrame, width: int = 5, threshold: int = 80) -
     return linked.unionByName(alone)
 
 
+def keep_one(documents: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """The document with the smallest doc_id of each component, with all its columns; rows without doc_id stay."""
+    kept = join_components(documents, width, threshold).where("doc_id = component_id").select("doc_id")
+    named = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # the join has dealt the rows by doc_id already
+    return named.unionByName(documents.where("doc_id is null"))
+
+
 ship(__name__)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.llm import chat_format, language_id, mixing, ngram_join, sharding, url_filter
+from wavegrid.llm import chat_format, language_id, mixing, ngram_join, packing, quality_rules, sharding, url_filter
 
 #: Rules of op1, as the contract gives them.
 RULES = [
@@ -33,10 +33,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4, threshold=85)
 
@@ -71,7 +79,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op6_mixing, op8_ngram_join, op9_chat_formatting, op10_language_id)}
+    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op5_quality_rules, op6_mixing, op7_packing, op8_ngram_join, op9_chat_formatting, op10_language_id)}
 
 
 _RULE_CASES = """
