@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.llm import chat_format, language_id, mixing, ngram_join, packing, quality_rules, sharding, url_filter
+from wavegrid.llm import chat_format, language_id, lm_score, mixing, ngram_join, packing, quality_rules, sharding, url_filter
 
 #: Rules of op1, as the contract gives them.
 RULES = [
@@ -33,6 +33,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = language_id.fold(F.col("doc_id"), 5) == 1
+    out = lm_score.score(spark.read.parquet(f"{sf_dir}/documents.parquet"), ~held_out)
+    out = out.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+    return out.withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -79,7 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op5_quality_rules, op6_mixing, op7_packing, op8_ngram_join, op9_chat_formatting, op10_language_id)}
+    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_lm_scoring, op5_quality_rules, op6_mixing, op7_packing, op8_ngram_join, op9_chat_formatting, op10_language_id)}
 
 
 _RULE_CASES = """
