@@ -33,9 +33,8 @@ from wavegrid.llm._store import materialise, ship
 from wavegrid.llm._text import LOWER, Words, chunks, mix64
 
 #: Bytes of context. A gram, DEPTH bytes and the next, is packed newest context byte first, next byte last.
-DEPTH = 5
+DEPTH = 6
 _GRAM, _WORD, _NODE = 0, 1, 2
-_SHARES = np.arange(1, 256)
 
 
 def stream(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,9 +69,21 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
 
 
+_SMALL = 4096
+_HALF, _WHOLE = _log_gamma(np.arange(_SMALL) + 0.5), _log_gamma(np.arange(_SMALL) + 1.0)
+
+
+def _looked_up(n: np.ndarray, known: np.ndarray, offset: float) -> np.ndarray:
+    out = known[np.minimum(n, _SMALL - 1).astype(np.int64)]
+    large = n >= _SMALL
+    if large.any():
+        out[large] = _log_gamma(n[large] + offset)
+    return out
+
+
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of a sequence with a zeros and b ones."""
-    return _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - math.log(math.pi) - _log_gamma(a + b + 1.0)
+    return _looked_up(a, _HALF, 0.5) + _looked_up(b, _HALF, 0.5) - math.log(math.pi) - _looked_up(a + b, _WHOLE, 1.0)
 
 
 def decisions(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,47 +93,46 @@ def decisions(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (1 << at) | (byte >> (8 - at)), (byte >> (7 - at)) & 1
 
 
-class Level:
-    """The nodes of one depth that hold the given grams: key, counts, weighted log probability."""
-
-    def __init__(self, context: np.ndarray, path: np.ndarray, bit: np.ndarray, count: np.ndarray, below: Level | None) -> None:
-        key = (np.repeat(context.astype(np.int64), 8) << 8) | path.ravel()
-        self.at, self.keys = pd.factorize(key)
-        weight = np.repeat(count, 8)
-        ones = bit.ravel() == 1
-        self.b = np.bincount(self.at, weights=np.where(ones, weight, 0), minlength=len(self.keys))
-        self.a = np.bincount(self.at, weights=np.where(ones, 0, weight), minlength=len(self.keys))
-        own = log_kt(self.a, self.b)
-        if below is None:
-            self.weighted, self.stop = own, np.ones(len(own))
-        else:
-            parent = np.zeros(len(below.keys), np.int64)
-            parent[below.at] = self.at
-            rest = np.bincount(parent, weights=below.weighted, minlength=len(self.keys))
-            self.weighted = np.logaddexp(own, rest) - math.log(2)
-            self.stop = np.exp(own - self.weighted) / 2
-
-    def mixed(self, deeper: np.ndarray | None, seen_deeper: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of a one at each decision, and whether training has seen the node."""
-        kt = ((self.b + 0.5) / (self.a + self.b + 1.0))[self.at]
-        seen = (self.a + self.b > 0)[self.at]
-        if deeper is None:
-            return kt, seen
-        stop = self.stop[self.at]
-        return np.where(seen_deeper, stop * kt + (1 - stop) * deeper, kt), seen
-
-
-def subtree(gram: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, Level]:
-    """(probability of a one from depth 2 down, whether seen, the depth-2 level) for each decision of distinct grams."""
-    path, bit = decisions((gram & np.uint64(255)).astype(np.int64))
-    levels: list[Level] = []
-    for depth in range(DEPTH, 1, -1):
-        context = gram >> np.uint64(8 * (DEPTH - depth + 1))
-        levels.append(Level(context, path, bit, count, levels[-1] if levels else None))
-    p = seen = None
-    for level in levels:
-        p, seen = level.mixed(p, seen)
-    return p.reshape(-1, 8), seen.reshape(-1, 8), levels[-1]
+class Subtree:
+    """Depths 2 to DEPTH over distinct grams in ascending order.
+
+    For one decision the deepest nodes are runs of grams, as grams ascend by context and byte; each
+    shallower level groups the nodes below it. ones and seen are n x 8: the mixed probability of a one
+    from depth 2 down, and whether training has seen the depth-2 node. nodes and weighted are the
+    depth-2 nodes, (newest context byte << 8 | path), and their weighted log probabilities.
+    """
+
+    def __init__(self, gram: np.ndarray, count: np.ndarray) -> None:
+        n = len(gram)
+        path, bit = decisions((gram & np.uint64(255)).astype(np.int64))
+        deepest = (gram >> np.uint64(8)).astype(np.int64)
+        fresh = np.concatenate(([True], deepest[1:] != deepest[:-1]))
+        self.ones, self.seen = np.empty((n, 8)), np.empty((n, 8), bool)
+        nodes, weighted = [], []
+        for j in range(8):
+            start = np.flatnonzero(fresh | np.concatenate(([True], path[1:, j] != path[:-1, j])))
+            context, way = deepest[start], path[start, j]
+            b = np.add.reduceat(count * bit[:, j], start).astype(np.float64)
+            a = np.add.reduceat(count, start) - b
+            whole = log_kt(a, b)
+            at = np.arange(len(start))  # node of the current depth above each deepest node
+            mixed, known = (b + 0.5) / (a + b + 1.0), a + b > 0
+            for _ in range(DEPTH - 2):
+                context = context >> 8
+                up, keys = pd.factorize((context << 8) | way)
+                m = len(keys)
+                a, b, rest = (np.bincount(up, weights=x, minlength=m) for x in (a, b, whole))
+                context, way = keys >> 8, keys & 255
+                own = log_kt(a, b)
+                whole = np.logaddexp(own, rest) - math.log(2)
+                stop, kt, at = np.exp(own - whole) / 2, (b + 0.5) / (a + b + 1.0), up[at]
+                mixed = np.where(known, stop[at] * kt[at] + (1 - stop[at]) * mixed, kt[at])
+                known = (a + b > 0)[at]
+            size = np.diff(np.append(start, n))
+            self.ones[:, j], self.seen[:, j] = np.repeat(mixed, size), np.repeat(known, size)
+            nodes.append((context >> 8) << 8 | way)
+            weighted.append(whole)
+        self.nodes, self.weighted = np.concatenate(nodes), np.concatenate(weighted)
 
 
 class Top:
@@ -171,25 +181,30 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.asarray(u, np.uint64)
 
 
+def _own_keys(texts: list[bytes | None], learn: np.ndarray | None, ranges: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """kind -> (range, key, training count) of a block's distinct grams and words, in the order of range and key."""
+    grams, words = ([], []), ([], [])
+    for a, b in chunks(texts):
+        gram, n = stream(texts[a:b])
+        w = Words(texts[a:b])
+        for (keys, counts), x, owner in ((grams, gram, np.repeat(np.arange(b - a), n)), (words, w.hash, w.text)):
+            at, u = _distinct(x)
+            keys.append(u)
+            counts.append(np.bincount(at, weights=learn[a:b][owner], minlength=len(u)).astype(np.int64) if learn is not None else np.zeros(len(u), np.int64))
+    out = {}
+    for kind, (keys, counts) in ((_GRAM, grams), (_WORD, words)):
+        k, c = B.summed(keys, counts)
+        r = _gram_range(k, ranges) if kind == _GRAM else B.range_of(k, ranges)
+        order = np.argsort(r, kind="stable")
+        out[kind] = r[order], k[order], c[order]
+    return out
+
+
 def _sender(ranges: int):
     def send(key, t):
-        block = key[0].as_py()
-        texts = B.texts_of(t)
-        learn = np.array(t.column("learn").to_pylist(), bool)
-        grams, words = ([], []), ([], [])
-        for a, b in chunks(texts):
-            gram, n = stream(texts[a:b])
-            w = Words(texts[a:b])
-            for (keys, counts), x, owner in ((grams, gram, np.repeat(np.arange(b - a), n)), (words, w.hash, w.text)):
-                at, u = _distinct(x)
-                keys.append(u)
-                counts.append(np.bincount(at, weights=learn[a:b][owner], minlength=len(u)).astype(np.int64))
         rows = []
-        for kind, (keys, counts) in ((_GRAM, grams), (_WORD, words)):
-            k, c = B.summed(keys, counts)
-            r = _gram_range(k, ranges) if kind == _GRAM else B.range_of(k, ranges)
-            order = np.lexsort((k, r))
-            rows += B.entries(block, kind, r[order], k[order], c[order].astype(np.uint32))
+        for kind, (r, k, c) in _own_keys(B.texts_of(t), np.array(t.column("learn").to_pylist(), bool), ranges).items():
+            rows += B.entries(key[0].as_py(), kind, r, k, c.astype(np.uint32))
         return B.table(rows, B.ENTRY_FIELDS)
 
     return send
@@ -209,35 +224,36 @@ def _top_parts(t):
     _, _, gram, count = _merged(t, _GRAM)
     _, _, _, words = _merged(t, _WORD)
     kinds, keys, values = [_WORD, _WORD], [0, 1], [float(np.count_nonzero(words)), float(words.sum())]
-    if len(gram):
-        seen = count > 0
-        gram, count = gram[seen], count[seen]
+    gram, count = gram[count > 0], count[count > 0]
     if len(gram):
         pair = ((gram >> np.uint64(8 * DEPTH)) << np.uint64(8) | (gram & np.uint64(255))).astype(np.int64)
-        u, at = np.unique(pair, return_inverse=True)
-        kinds += [_GRAM] * len(u)
-        keys += u.tolist()
-        values += np.bincount(at, weights=count).tolist()
-        level = subtree(gram, count)[2]
-        node = ((level.keys >> 16) << 8) | (level.keys & 255)  # newest context byte and path
-        u, at = np.unique(node, return_inverse=True)
-        kinds += [_NODE] * len(u)
-        keys += u.tolist()
-        values += np.bincount(at, weights=level.weighted).tolist()
+        tree = Subtree(gram, count)
+        for kind, key, value in ((_GRAM, pair, count), (_NODE, tree.nodes, tree.weighted)):
+            u, at = np.unique(key, return_inverse=True)
+            kinds += [kind] * len(u)
+            keys += u.tolist()
+            values += np.bincount(at, weights=value).tolist()
     return pa.table({"kind": pa.array(kinds, pa.int32()), "key": pa.array(keys, pa.int64()), "value": pa.array(values, pa.float64())})
 
 
+#: Code lengths travel as whole multiples of 2 ** -20.
+_FINE = float(1 << 20)
+
+
 def _answerer(top):
     def answer(t):
-        rows = []
+        rows, owner = [], t.column("range")[0].as_py()
         for kind in (_GRAM, _WORD):
             blocks, keys, k, c = _merged(t, kind)
             if not len(k):
                 continue
-            value = top.value.code(k, *subtree(k, c)[:2]).astype(np.float32) if kind == _GRAM else c.astype(np.uint32)
+            if kind == _GRAM:
+                tree = Subtree(k, c)
+                c = np.rint(-_FINE * top.value.code(k, tree.ones, tree.seen))
+            value = c.astype(np.uint32)
             for b, mine in zip(blocks, keys, strict=True):
-                rows.append({"block": b, "kind": kind, "keys": B.pack_keys(mine), "values": B.pack(value[B.find(k, mine)[0]])})
-        return B.table(rows, [("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+                rows.append({"block": b, "kind": kind, "range": owner, "values": B.pack(value[B.find(k, mine)[0]])})
+        return B.table(rows, [("block", pa.int32()), ("kind", pa.int32()), ("range", pa.int32()), ("values", pa.binary())])
 
     return answer
 
@@ -245,26 +261,27 @@ def _answerer(top):
 _SCORES = "doc_id long, n_tokens long, n_known long, n_bytes long, base_score double, score double"
 
 
-def _finisher(total: int, vocabulary: int, texts_learned: int):
+def _finisher(total: int, vocabulary: int, texts_learned: int, ranges: int):
     def finish(docs, answers):
-        kinds = answers.column("kind").to_pylist()
-        blobs, data = answers.column("keys").to_pylist(), answers.column("values").to_pylist()
+        kinds, owners, data = (answers.column(c).to_pylist() for c in ("kind", "range", "values"))
+        texts = B.texts_of(docs)
+        n = len(texts)
         tables = {}
-        for kind, dtype in ((_GRAM, np.float32), (_WORD, np.uint32)):
-            mine = [i for i, k in enumerate(kinds) if k == kind]
-            k = np.concatenate([B.unpack_keys(blobs[i]) for i in mine]) if mine else np.empty(0, np.uint64)
-            v = np.concatenate([B.unpack(data[i], dtype) for i in mine]).astype(np.float64) if mine else np.empty(0)
+        for kind, (r, k, _) in _own_keys(texts, None, ranges).items():
+            # a range's values stand in the order of the block's keys in it
+            mine = sorted((owners[i], i) for i, x in enumerate(kinds) if x == kind)
+            v = np.concatenate([B.unpack(data[i], np.uint32) for _, i in mine]).astype(np.float64) if mine else np.empty(0)
+            if len(v) != len(k):
+                raise ValueError(f"{len(v)} answers for {len(k)} keys of a block")
             order = np.argsort(k)
             tables[kind] = k[order], v[order]
         log_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
-        texts = B.texts_of(docs)
-        n = len(texts)
         out = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known", "n_bytes")} | {k: np.zeros(n) for k in ("base_score", "score")}
         for a, b in chunks(texts):
             gram, size = stream(texts[a:b])
             at, u = _distinct(gram)
             k, v = tables[_GRAM]
-            code = v[B.find(k, u)[0]][at]
+            code = (v[B.find(k, u)[0]] / -_FINE)[at]
             start = np.cumsum(size) - size
             out["n_bytes"][a:b], out["score"][a:b] = size, np.add.reduceat(code, start)
             w = Words(texts[a:b])
@@ -292,8 +309,8 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
     stats = {r["key"]: int(r["value"]) for r in rows if r["kind"] == _WORD}
     vocabulary, total = stats.get(0, 0) + (texts_learned > 0), stats.get(1, 0) + texts_learned
     top = spark.sparkContext.broadcast(Top(*of(_GRAM), *of(_NODE)))
-    answers = sent.groupBy("range").applyInArrow(_answerer(top), "block int, kind int, keys binary, values binary")
-    scored = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finisher(total, vocabulary, texts_learned), _SCORES)
+    answers = sent.groupBy("range").applyInArrow(_answerer(top), "block int, kind int, range int, values binary")
+    scored = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finisher(total, vocabulary, texts_learned, ranges), _SCORES)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
