@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.llm import chat_format, language_id, lm_score, mixing, ngram_join, packing, quality_rules, sharding, url_filter
+from wavegrid.llm import chat_format, fingerprint, language_id, lm_score, mixing, ngram_join, packing, quality_rules, sharding, url_filter
 
 #: Rules of op1, as the contract gives them.
 RULES = [
@@ -40,6 +40,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -86,7 +90,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_lm_scoring, op5_quality_rules, op6_mixing, op7_packing, op8_ngram_join, op9_chat_formatting, op10_language_id)}
+    return {f.__name__: f for f in (op1_url_filters, op2_sharding, op3_lm_scoring, op4_fingerprints, op5_quality_rules, op6_mixing, op7_packing, op8_ngram_join, op9_chat_formatting, op10_language_id)}
 
 
 _RULE_CASES = """
