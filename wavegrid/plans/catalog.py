@@ -24,3 +24,10 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return _SQL
+
+
+def table(spark, sf_dir: str, name: str):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from wavegrid.plans import event_queries, literal_queries, table_queries  # noqa: E402, F401  they register themselves
