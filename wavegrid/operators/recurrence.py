@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavegrid.operators.ordering import numbered
+
 #: The matrix form broadcasts all vectors; beyond this size it compares pairs of blocks instead.
 BROADCAST_BYTES = 64 << 20
 #: Rows in a block of the blocked form.
@@ -38,8 +40,8 @@ def discord_scores(vectors: DataFrame, index: str = "vec_id", vector: str = "emb
     (checked); beyond, every pair of blocks is one group, and the least of its distances is kept.
     """
     spark = vectors.sparkSession
-    numbered = vectors.select(F.col(index).alias("index"), F.col(vector).alias("v"))
-    ordered = _placed(numbered)
+    rows = vectors.select(F.col(index).alias("index"), F.col(vector).alias("v"))
+    ordered = numbered(rows, "index")
     n = ordered.count()
     band = max(1, int(n * exclusion))
     width = len(ordered.first()["v"]) if n else 0
@@ -54,8 +56,8 @@ def discord_scores(vectors: DataFrame, index: str = "vec_id", vector: str = "emb
         return np.sqrt(np.maximum(out, 0))
 
     if n * width * 8 <= BROADCAST_BYTES:
-        rows = ordered.toPandas()
-        shared = spark.sparkContext.broadcast((units(rows), rows["place"].to_numpy()))
+        whole = ordered.toPandas()
+        shared = spark.sparkContext.broadcast((units(whole), whole["place"].to_numpy()))
 
         def run(batches):
             b, pb = shared.value
@@ -80,18 +82,6 @@ def discord_scores(vectors: DataFrame, index: str = "vec_id", vector: str = "emb
     return scores.where(F.col("score") < float("inf"))
 
 
-def _placed(rows: DataFrame) -> DataFrame:
-    """Gapless places in index order: ranges of the index are numbered one after the other."""
-    cuts = rows.select(F.percentile_approx("index", [i / 64 for i in range(1, 64)], 10000).alias("c")).first()["c"] or []
-    part = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col("index"))) if cuts else F.lit(0)
-    parted = rows.withColumn("part", part)
-    sizes = parted.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # 64 rows
-    offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    local = F.row_number().over(Window.partitionBy("part").orderBy("index")) - 1
-    return parted.withColumn("local", local).join(F.broadcast(offsets), "part").select("index", "v", (F.col("local") + F.col("offset")).alias("place"))
-
-
 def _units(x: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(n < 1e-9, 1.0, n)

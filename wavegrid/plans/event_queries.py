@@ -499,19 +499,17 @@ def printed_flips(spark, d):
 
 @query(
     "jitter_lines",
-    EV + f""", g as (select event_id, t - lag(t) over (order by t, event_id) as gap, row_number() over (order by t, event_id) as n from ev where user_id = 1),
-j as (select n % {LENGTH} as h, gap - avg(gap) over () as x from g where gap is not null),
-f as (select bin::int as bin, sum(x * cos(2 * pi() * ((bin * h) % {LENGTH}) / {LENGTH})) as re, sum(x * sin(2 * pi() * ((bin * h) % {LENGTH}) / {LENGTH})) as im from j, range(1, {BINS + 1}) b(bin) group by 1)
-select bin, round((re * re + im * im) / 1e6, 2) as power from f where re * re + im * im > 4 * (select median(re * re + im * im) from f)""",
+    EV + f""", g as (select user_id, t - lag(t) over w as gap, row_number() over w as n from ev window w as (partition by user_id order by t, event_id)),
+j as (select user_id, n % {LENGTH} as h, gap - avg(gap) over (partition by user_id) as x from g where gap is not null),
+f as (select user_id, bin::int as bin, sum(x * cos(2 * pi() * ((bin * h) % {LENGTH}) / {LENGTH})) as re, sum(x * sin(2 * pi() * ((bin * h) % {LENGTH}) / {LENGTH})) as im from j, range(1, {BINS + 1}) b(bin) group by 1, 2),
+p as (select user_id, bin, re * re + im * im as power from f), m as (select user_id, median(power) as m from p group by 1)
+select user_id, bin, round(power / 1e6, 1) as power from p join m using (user_id) where power > 4 * m""",
 )
 def jitter_lines(spark, d):
     from pyspark.sql import Window
 
-    one = events(spark, d).where("user_id = 1")
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    g = one.withColumns({"gap": F.col("t") - F.lag("t").over(w), "h": F.row_number().over(w) % LENGTH}).where("gap is not null")
+    g = events(spark, d).withColumns({"gap": F.col("t") - F.lag("t").over(w), "h": F.row_number().over(w) % LENGTH}).where("gap is not null")
     p = spectrum.dft_power(g, "user_id", "h", "gap", BINS, LENGTH)
     p = p.withColumn("m", F.percentile("power", 0.5).over(Window.partitionBy("user_id")))
-    return p.where("power > 4 * m").select("bin", F.round(F.col("power") / 1e6, 2).alias("power"))
-
-
+    return p.where("power > 4 * m").select("user_id", "bin", F.round(F.col("power") / 1e6, 1).alias("power"))
