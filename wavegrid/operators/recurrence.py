@@ -76,7 +76,7 @@ def discord_scores(vectors: DataFrame, index: str = "vec_id", vector: str = "emb
             pa, pb = a["place"].to_numpy(), b["place"].to_numpy()
             return pd.DataFrame({"index": a["index"], "score": least(units(a), pa, units(b), pb)})
 
-        right = left.select(F.col("block").alias("other"), F.col("other").alias("block"), "index", "v", "place")
+        right = left.select(F.col("block").alias("other"), F.col("other").alias("block"), *[F.col(c).alias(c) for c in ("index", "v", "place")])
         partial = left.groupBy("block", "other").cogroup(right.groupBy("block", "other")).applyInPandas(pair, "index long, score double")
         scores = partial.groupBy("index").agg(F.min("score").alias("score"))
     return scores.where(F.col("score") < float("inf"))
