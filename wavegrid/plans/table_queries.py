@@ -144,27 +144,27 @@ def nearest_bin(spark, d):
 
 @query(
     "band_means",
-    "select floor(ln(l_extendedprice / 900.0) / (ln(120.0) / 48))::bigint as band, count(*) as n, round(avg(l_extendedprice), 4) as mean from lineitem where l_extendedprice >= 900 group by 1",
+    "select floor(ln(l_extendedprice / 900.0) / (ln(120.0) / 48))::bigint as band, count(*) as n, round(avg(l_extendedprice), 2) as mean from lineitem where l_extendedprice >= 900 group by 1",
 )
 def band_means(spark, d):
     band = F.floor(F.log(F.col("l_extendedprice") / 900.0) / (F.log(F.lit(120.0)) / 48))
     rows = table(spark, d, "lineitem").where("l_extendedprice >= 900")
-    return rows.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"))
+    return rows.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("l_extendedprice"), 2).alias("mean"))
 
 
 @query(
     "filled_bands",
-    """with b as (select floor(ln(l_extendedprice / 900.0) / (ln(120.0) / 400))::bigint as band, avg(l_extendedprice) as mean from lineitem where l_extendedprice >= 900 group by 1),
-a as (select unnest(range(0, 401)) as band), j as (select a.band, mean from a left join b using (band))
-select band, round(last_value(mean ignore nulls) over (order by band), 4) as mean from j""",
+    """with b as (select floor(ln(l_extendedprice / 900.0) / (ln(120.0) / 400))::bigint as band, round(sum(l_extendedprice) * 100)::bigint as cents, count(*) as n from lineitem where l_extendedprice >= 900 group by 1),
+a as (select unnest(range(0, 401)) as band), j as (select a.band, cents, n from a left join b using (band))
+select band, last_value(cents ignore nulls) over (order by band) as cents, last_value(n ignore nulls) over (order by band) as n from j""",
 )
 def filled_bands(spark, d):
     """An empty band copies the band below."""
     band = F.floor(F.log(F.col("l_extendedprice") / 900.0) / (F.log(F.lit(120.0)) / 400))
-    means = table(spark, d, "lineitem").where("l_extendedprice >= 900").groupBy(band.alias("band")).agg(F.avg("l_extendedprice").alias("mean"))
+    sums = table(spark, d, "lineitem").where("l_extendedprice >= 900").groupBy(band.alias("band")).agg(F.round(F.sum("l_extendedprice") * 100).cast("long").alias("cents"), F.count(F.lit(1)).alias("n"))
     every = spark.range(401).select(F.col("id").alias("band"))
     w = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, 0)  # 401 bands
-    return every.join(means, "band", "left").select("band", F.round(F.last("mean", ignorenulls=True).over(w), 4).alias("mean"))
+    return every.join(sums, "band", "left").select("band", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in ("cents", "n")])
 
 
 @query(
@@ -219,14 +219,14 @@ def frame_diff_rms_normalized(spark, d):
     return jobs_rms(f, True).select(F.col("day").cast("string").alias("day"), F.round("rms", 6).alias("rms"))
 
 
-REPORT = """select {k} as {k}, count({v}) as n, round(avg({v}), 4) as mean, round(stddev_pop({v}), 4) as sd,
+REPORT = """select {k} as {k}, count({v}) as n, round(avg({v}), 2) as mean, round(stddev_pop({v}), 2) as sd,
   (list({n} order by {v}, {n}))[1] as least_name, min({v}) as least, (list({n} order by {v} desc, {n}))[1] as most_name, max({v}) as most from {t} group by {k}"""
 
 
 @query("report_summary", REPORT.format(k="l_suppkey", n="l_orderkey", v="l_extendedprice", t="lineitem"))
 def report_summary(spark, d):
     r = jobs.report(table(spark, d, "lineitem"), "l_suppkey", "l_orderkey", "l_extendedprice")
-    return r.withColumns({"mean": F.round("mean", 4), "sd": F.round("sd", 4)})
+    return r.withColumns({"mean": F.round("mean", 2), "sd": F.round("sd", 2)})
 
 
 @query(
