@@ -7,8 +7,9 @@ is the (word, t) with the least a (Ioffe's scheme). Two documents agree in a sam
 sum of min / sum of max of their weights, the generalised Jaccard similarity. Signatures hold 32 bits
 of each sample; likeness is the share that agree.
 
-A sample's least a and its 32 bits are one long, so that K minima of longs in one hash aggregate give
-a signature; the rows of a document stay in one partition from the join with its successor on.
+A sample's least a and its 32 bits are one long; each weighted word makes one row for each sample, and
+the minima of these longs by document and sample, in generated code, give the signature. The rows of a
+document stay in one partition from the join with its successor on.
 
 Defined cases: null text counts as empty; a document without words has the fingerprint of K zero
 samples, alike to its own kind (1.0) and to no other; rows are ordered by (doc_id, hash of text), nulls
@@ -36,9 +37,9 @@ def _unit(h: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) * F.lit(2.0**-21)
 
 
-def sample(word: Column, log_weight: Column, k: int) -> Column:
+def sample(word: Column, log_weight: Column, k: Column) -> Column:
     """One weighted word's entry for sample k: ln a in the high half, 32 bits of (word, t) in the low half."""
-    h, g = F.xxhash64(word, F.lit(2 * k)), F.xxhash64(word, F.lit(2 * k + 1))
+    h, g = F.xxhash64(word, 2 * k), F.xxhash64(word, 2 * k + 1)
     r = -F.log(_unit(h, 0) * _unit(h, 21))
     c = -F.log(_unit(h, 42) * _unit(g, 0))
     b = _unit(g, 21)
@@ -53,10 +54,13 @@ def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
     """keys, signature (array of K longs) of the column text; keys must be unique."""
     words = texts.select(*keys, F.explode_outer(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), 0)).alias("__w"))
     words = words.select(*keys, F.when(F.col("__w").isNotNull(), F.xxhash64("__w")).alias("__w"))
-    weighted = words.groupBy(*keys, "__w").agg(F.log(F.count(F.lit(1)).cast("double")).alias("__lw"))
-    least = [F.min(F.when(F.col("__w").isNotNull(), sample(F.col("__w"), F.col("__lw"), k))).alias(f"__s{k}") for k in range(samples)]
-    low = F.array(*[F.coalesce(F.col(f"__s{k}").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0).cast("long")) for k in range(samples)])
-    return weighted.groupBy(*keys).agg(*least).select(*keys, low.alias("signature"))
+    weighted = words.groupBy(*keys, "__w").agg(F.log(F.count("__w").cast("double")).alias("__lw"))  # null for the row of no words
+    drawn = weighted.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    least = F.min(sample(F.col("__w"), F.col("__lw"), F.col("__k")))  # not under a condition, where common terms would be computed again
+    each = drawn.groupBy(*keys, "__k").agg(least.bitwiseAND(F.lit(0xFFFFFFFF)).alias("__s"))
+    row = F.struct("__k", F.coalesce("__s", F.lit(0).cast("long")).alias("s"))
+    whole = F.array_sort(F.collect_list(row))  # K entries
+    return each.groupBy(*keys).agg(whole.alias("__all")).select(*keys, F.transform("__all", lambda x: x["s"]).alias("signature"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -108,10 +112,12 @@ def fingerprint(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
     starts = dealt.join(wanted, _KEYS).select(F.col("__pid").alias("__id"), F.col("__pnone").alias("__none"), F.col("__phash").alias("__hash"), "half", start)
     own = F.substring(F.col("text"), F.lit(1), (F.length("text") - F.col("half")).cast("int"))
     pairs = dealt.join(starts, _KEYS).select(*_KEYS, "text", F.concat(own, "start").alias("edited"))
-    both = pairs.select(*_KEYS, F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v"))
-    signed = signatures(both.select(*_KEYS, "sha", "v.which", "v.text"), [*_KEYS, "sha", "which"], samples)
+    digests = pairs.select(*_KEYS, F.sha2(F.col("edited").cast("binary"), 256).alias("sha"))
+    both = pairs.select(*_KEYS, F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v"))
+    signed = signatures(both.select(*_KEYS, "v.which", "v.text"), [*_KEYS, "which"], samples)
     of = lambda w: F.first(F.when(F.col("which") == w, F.col("signature")), ignorenulls=True)
-    made = materialise(signed.groupBy(*_KEYS, "sha").agg(of(0).alias("mine"), of(1).alias("edit")), "signatures")
+    signed = signed.groupBy(*_KEYS).agg(of(0).alias("mine"), of(1).alias("edit"))
+    made = materialise(signed.join(digests, _KEYS), "signatures")
     following = made.select(*[F.col(k).alias(c) for k, c in zip(_KEYS, _NEXT, strict=True)], F.col("mine").alias("theirs"))
     rows = links.join(made, _KEYS).join(following, _NEXT)
     return rows.select(
