@@ -86,6 +86,28 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(c, first)
 
 
+class Tally:
+    """Distinct keys and sums of their counts, gathered part by part; merged whenever MERGE keys wait, which bounds its memory."""
+
+    MERGE = 1 << 20
+
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
+        self.waiting = 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting > self.MERGE and len(self.keys) > 1:
+            merged = self.total()
+            self.keys, self.counts, self.waiting = [merged[0]], [merged[1]], 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        return summed(self.keys, self.counts)
+
+
 def texts_of(t: pa.Table) -> list[bytes | None]:
     return t.column("text").cast(pa.binary()).to_pylist()
 

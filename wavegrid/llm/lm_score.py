@@ -181,30 +181,26 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.asarray(u, np.uint64)
 
 
-def _own_keys(texts: list[bytes | None], learn: np.ndarray | None, ranges: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """kind -> (range, key, training count) of a block's distinct grams and words, in the order of range and key."""
-    grams, words = ([], []), ([], [])
-    for a, b in chunks(texts):
-        gram, n = stream(texts[a:b])
-        w = Words(texts[a:b])
-        for (keys, counts), x, owner in ((grams, gram, np.repeat(np.arange(b - a), n)), (words, w.hash, w.text)):
-            at, u = _distinct(x)
-            keys.append(u)
-            counts.append(np.bincount(at, weights=learn[a:b][owner], minlength=len(u)).astype(np.int64) if learn is not None else np.zeros(len(u), np.int64))
-    out = {}
-    for kind, (keys, counts) in ((_GRAM, grams), (_WORD, words)):
-        k, c = B.summed(keys, counts)
-        r = _gram_range(k, ranges) if kind == _GRAM else B.range_of(k, ranges)
-        order = np.argsort(r, kind="stable")
-        out[kind] = r[order], k[order], c[order]
-    return out
+def _ranges_of(kind: int, keys: np.ndarray, ranges: int) -> np.ndarray:
+    return _gram_range(keys, ranges) if kind == _GRAM else B.range_of(keys, ranges)
 
 
 def _sender(ranges: int):
     def send(key, t):
+        texts, learn = B.texts_of(t), np.array(t.column("learn").to_pylist(), bool)
+        found = {_GRAM: B.Tally(), _WORD: B.Tally()}
+        for a, b in chunks(texts):
+            gram, n = stream(texts[a:b])
+            w = Words(texts[a:b])
+            for kind, x, owner in ((_GRAM, gram, np.repeat(np.arange(b - a), n)), (_WORD, w.hash, w.text)):
+                at, u = _distinct(x)
+                found[kind].add(u, np.bincount(at, weights=learn[a:b][owner], minlength=len(u)).astype(np.int64))
         rows = []
-        for kind, (r, k, c) in _own_keys(B.texts_of(t), np.array(t.column("learn").to_pylist(), bool), ranges).items():
-            rows += B.entries(key[0].as_py(), kind, r, k, c.astype(np.uint32))
+        for kind, tally in found.items():
+            k, c = tally.total()
+            r = _ranges_of(kind, k, ranges)
+            order = np.argsort(r, kind="stable")
+            rows += B.entries(key[0].as_py(), kind, r[order], k[order], c[order].astype(np.uint32))
         return B.table(rows, B.ENTRY_FIELDS)
 
     return send
@@ -266,31 +262,38 @@ def _finisher(total: int, vocabulary: int, texts_learned: int, ranges: int):
         kinds, owners, data = (answers.column(c).to_pylist() for c in ("kind", "range", "values"))
         texts = B.texts_of(docs)
         n = len(texts)
+        found, words = {_GRAM: B.Tally(), _WORD: B.Tally()}, []
+        for a, b in chunks(texts):  # words are few and kept numbered; grams, one a byte, are numbered again below
+            w = Words(texts[a:b])
+            at, u = _distinct(w.hash)
+            words.append((at.astype(np.int32), u, w.text.astype(np.int32)))
+            found[_WORD].add(u, np.zeros(len(u), np.int8))
+            u = _distinct(stream(texts[a:b])[0])[1]
+            found[_GRAM].add(u, np.zeros(len(u), np.int8))
         tables = {}
-        for kind, (r, k, _) in _own_keys(texts, None, ranges).items():
+        for kind, tally in found.items():
+            k, _ = tally.total()
             # a range's values stand in the order of the block's keys in it
             mine = sorted((owners[i], i) for i, x in enumerate(kinds) if x == kind)
-            v = np.concatenate([B.unpack(data[i], np.uint32) for _, i in mine]).astype(np.float64) if mine else np.empty(0)
+            v = np.concatenate([B.unpack(data[i], np.uint32) for _, i in mine]) if mine else np.empty(0, np.uint32)
             if len(v) != len(k):
                 raise ValueError(f"{len(v)} answers for {len(k)} keys of a block")
-            order = np.argsort(k)
-            tables[kind] = k[order], v[order]
+            value = np.empty_like(v)
+            value[np.argsort(_ranges_of(kind, k, ranges), kind="stable")] = v
+            tables[kind] = k, value
         log_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
         out = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known", "n_bytes")} | {k: np.zeros(n) for k in ("base_score", "score")}
-        for a, b in chunks(texts):
+        for (a, b), (at, u, owner) in zip(chunks(texts), words, strict=True):
+            k, v = tables[_WORD]
+            c = v[B.find(k, u)[0]].astype(np.float64) if len(u) else np.empty(0)
+            out["n_tokens"][a:b] = np.bincount(owner, minlength=b - a) + 1
+            out["n_known"][a:b] = np.bincount(owner, weights=(c > 0)[at], minlength=b - a) + (texts_learned > 0)
+            out["base_score"][a:b] = np.bincount(owner, weights=log_of(c)[at], minlength=b - a) + log_of(np.float64(texts_learned))
             gram, size = stream(texts[a:b])
             at, u = _distinct(gram)
             k, v = tables[_GRAM]
             code = (v[B.find(k, u)[0]] / -_FINE)[at]
-            start = np.cumsum(size) - size
-            out["n_bytes"][a:b], out["score"][a:b] = size, np.add.reduceat(code, start)
-            w = Words(texts[a:b])
-            at, u = _distinct(w.hash)
-            k, v = tables[_WORD]
-            c = v[B.find(k, u)[0]][at] if len(u) else np.empty(0)
-            out["n_tokens"][a:b] = w.counts + 1
-            out["n_known"][a:b] = np.bincount(w.text, weights=c > 0, minlength=b - a) + (texts_learned > 0)
-            out["base_score"][a:b] = np.bincount(w.text, weights=log_of(c), minlength=b - a) + log_of(np.float64(texts_learned))
+            out["n_bytes"][a:b], out["score"][a:b] = size, np.add.reduceat(code, np.cumsum(size) - size)
         return pa.table({"doc_id": pa.array(docs.column("doc_id").to_pylist(), pa.int64()), **{k: pa.array(x) for k, x in out.items()}})
 
     return finish
