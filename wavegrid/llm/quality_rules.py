@@ -3,8 +3,18 @@
 A public byte-level BPE vocabulary measures each whole text: characters per token, the share of tokens
 that are only part of a character (byte fallback) and the entropy of its token distribution in bits.
 A text is kept if its base counts pass and each measure lies in the band of its language or, where the
-language has none or is unknown, of its main script. The bands are wide: they catch text that the
-vocabulary cannot read (noise, wrong encodings, one token over and over), not unusual prose.
+language has none or is unknown, of its main script.
+
+The bands of en, de, fr, es and of Latin script are learnt (``learn_bands``) from a bounded sample: rows
+labelled quality = 1 that pass the base counts, up to SAMPLE of each language by MD5 of doc_id, of the table
+sf0.1. Each limit is the sample's extreme and SLACK of its range; the byte share has one limit for all,
+since good text may quote another language. Entropy grows with length, so it is judged by its distance from
+a parabola over log2 of the tokens. Two limits are wide on purpose: characters per token have no upper limit
+but 8, and the upper slack of entropy is the whole range, since good prose with more words than the
+sample's exceeds both. The lower entropy limit holds below the sample's FLUENT quantile of characters per
+token only: symbols and separators lower both measures, while plain prose of few words reads well; above it
+the floor is LEAST_ENTROPY. Other scripts have no labelled rows in the given tables; their bands are wide
+guesses that catch only what the vocabulary cannot read.
 
 Defined cases: null text counts as empty and fails (fewer than 50 words); measures of a text without
 tokens are 0; entropy is judged from MIN_TOKENS tokens on only; a null or unknown language is judged by
@@ -15,11 +25,13 @@ by ``judge`` and kept by ``keep_good``.
 from __future__ import annotations
 
 import base64
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from wavegrid.llm._store import ship
 from wavegrid.llm._text import Words, chunks
@@ -31,28 +43,67 @@ MIN_TOKENS = 50
 SYMBOLS = b"#*$%&|<>"
 
 
+SAMPLE = 2000
+SLACK = 0.2
+FLUENT = 0.95
+LEAST_ENTROPY = 3.0
+
+
 @dataclass(frozen=True)
 class Band:
-    """Closed ranges of the three measures."""
+    """Closed ranges of the three measures; entropy is counted from the curve of log2(tokens)."""
 
     chars_per_token: tuple[float, float]
     byte_share: tuple[float, float]
     entropy: tuple[float, float]
+    curve: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    log_tokens: tuple[float, float] = (0.0, 0.0)  # where the curve was learnt; constant outside
+    fluent: float = 8.0  # from so many characters a token on, low entropy passes down to LEAST_ENTROPY
+
+    def holds(self, n: int, chars: float, share: float, entropy: float) -> bool:
+        if not (self.chars_per_token[0] <= chars <= self.chars_per_token[1] and self.byte_share[0] <= share <= self.byte_share[1]):
+            return False
+        if n < MIN_TOKENS:
+            return True
+        x = min(max(math.log2(n), self.log_tokens[0]), self.log_tokens[1])
+        off = entropy - ((self.curve[0] * x + self.curve[1]) * x + self.curve[2])
+        return off <= self.entropy[1] and (off >= self.entropy[0] or (chars >= self.fluent and entropy >= LEAST_ENTROPY))
+
+
+def learn_band(m: np.ndarray) -> Band:
+    """Band of good texts; m has a row (tokens, characters per token, byte share, entropy) for each."""
+    x = np.log2(m[:, 0])
+    curve = np.polyfit(x, m[:, 3], 2)
+    off = m[:, 3] - np.polyval(curve, x)
+    r = lambda *v: tuple(round(float(a), 4) for a in v)
+    return Band(
+        r(m[:, 1].min() - SLACK * np.ptp(m[:, 1]), 8),
+        r(0, m[:, 2].max() + SLACK * np.ptp(m[:, 2])),
+        r(off.min() - SLACK * np.ptp(off), off.max() + np.ptp(off)),
+        r(*curve),
+        r(x.min(), x.max()),
+        *r(np.quantile(m[:, 1], FLUENT)),
+    )
+
+
+def shared_share(bands: dict[str, Band]) -> dict[str, Band]:
+    """All bands with the byte share of the one named latin."""
+    return {k: replace(b, byte_share=bands["latin"].byte_share) for k, b in bands.items()}
 
 
 @dataclass(frozen=True)
 class Bands:
     languages: dict[str, Band] = field(
         default_factory=lambda: {
-            "en": Band((1.6, 8.0), (0.0, 0.15), (3.0, 15.0)),
-            "de": Band((1.4, 8.0), (0.0, 0.25), (3.0, 15.0)),
-            "fr": Band((1.3, 8.0), (0.0, 0.30), (3.0, 15.0)),
-            "es": Band((1.3, 8.0), (0.0, 0.30), (3.0, 15.0)),
+            "de": Band((2.1355, 8.0), (0.0, 0.188), (-0.3967, 1.1461), (-0.0309, 0.7612, 2.091), (7.1497, 13.6311), 2.4595),
+            "en": Band((2.2462, 8.0), (0.0, 0.188), (-0.4442, 1.0273), (-0.0372, 0.9225, 1.3215), (6.7682, 13.3062), 2.7433),
+            "es": Band((1.8635, 8.0), (0.0, 0.188), (-0.5428, 1.6969), (-0.0334, 0.8157, 1.6951), (7.1997, 12.9723), 2.1595),
+            "fr": Band((1.9196, 8.0), (0.0, 0.188), (-0.5041, 1.5478), (-0.0265, 0.6539, 2.5961), (7.1085, 13.7118), 2.2773),
         }
     )
     scripts: dict[str, Band] = field(
         default_factory=lambda: {
-            "latin": Band((1.2, 8.0), (0.0, 0.35), (3.0, 15.0)),
+            "latin": Band((1.7517, 8.0), (0.0, 0.188), (-0.7341, 1.5154), (-0.0353, 0.8586, 1.6517), (6.7682, 13.7118), 2.7283),
             "alphabetic": Band((0.4, 6.0), (0.0, 0.95), (2.5, 15.0)),
             "ideographic": Band((0.25, 4.0), (0.0, 1.0), (2.5, 15.0)),
             "none": Band((0.2, 8.0), (0.0, 1.0), (2.0, 15.0)),
@@ -136,8 +187,7 @@ class Judge:
 
     def in_band(self, text: str, lang: str | None, n: int, chars: float, share: float, entropy: float) -> bool:
         band = self.bands.languages.get(lang) or self.bands.scripts[main_script(text)]
-        within = lambda x, r: r[0] <= x <= r[1]
-        return within(chars, band.chars_per_token) and within(share, band.byte_share) and (n < MIN_TOKENS or within(entropy, band.entropy))
+        return band.holds(n, chars, share, entropy)
 
     def __call__(self, texts: list[str | None], langs: list[str | None]) -> dict[str, np.ndarray]:
         raw = [(x or "").encode() for x in texts]
@@ -193,4 +243,14 @@ def keep_good(docs: DataFrame, vocabulary: str = VOCABULARY, bands: Bands = Band
     return docs.mapInArrow(run, docs.schema)
 
 
+def learn_bands(docs: DataFrame, labels: DataFrame, vocabulary: str = VOCABULARY) -> dict[str, Band]:
+    """Bands by language, and one named latin of all, from at most SAMPLE good rows a language."""
+    good = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    measured = judge(good, vocabulary).where("not base_failed").join(good.select("doc_id", "lang"), "doc_id")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string"))))
+    rows = measured.withColumn("place", place).where(F.col("place") <= SAMPLE).select("lang", "n_tokens", "chars_per_token", "byte_share", "entropy").collect()  # SAMPLE a language
+    of = lambda lang: np.array([r[1:] for r in rows if lang in (r.lang, "latin")], np.float64)
+    return shared_share({lang: learn_band(of(lang)) for lang in (*sorted({r.lang for r in rows}), "latin")})
+
+
 ship(__name__)
