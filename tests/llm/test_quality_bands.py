@@ -47,3 +47,20 @@ def test_bands_are_those_of_the_sample(spark):
     read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
     learnt, bands = quality_rules.learn_bands(read("documents"), read("labels")), quality_rules.Bands()
     assert learnt == {**bands.languages, "latin": bands.scripts["latin"]}
+
+
+@pytest.mark.parametrize("at", [1, 2])
+def test_bands_of_the_other_vocabularies(spark, at):
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet")
+    learnt, bands = quality_rules.learn_bands(read("documents"), read("labels"), quality_rules.VOCABULARIES[at]), quality_rules.BANDS[at]
+    assert learnt == {**bands.languages, "latin": bands.scripts["latin"]}
+
+
+def test_other_vocabularies_decide(spark, labelled):
+    """Digits read well as words of the first vocabulary; Spanish and French tables too."""
+    rng = random.Random(8)
+    noise = lambda letters, n, m: " ".join("".join(rng.choice(letters) for _ in range(n)) for _ in range(m))
+    assert not any(verdicts(spark, [("en", noise("0123456789", 7, 60)), (None, noise("abcdefghijklmnopqrstuvwxyz", 6, 200)), (None, noise("0123456789abcdef", 32, 200))]))
+    bad = labelled.where("quality = 0 and lang in ('es', 'fr')")
+    one = quality_rules.judge(bad, (quality_rules.VOCABULARY,), (quality_rules.Bands(),)).where("kept").count()
+    assert quality_rules.judge(bad).where("kept").count() < max(one, 1)

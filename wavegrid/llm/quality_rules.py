@@ -1,9 +1,11 @@
 """Operator 5, quality rules: base counts of words, symbols and repeats, then tokeniser fertility.
 
-A public byte-level BPE vocabulary measures each whole text: characters per token, the share of tokens
-that are only part of a character (byte fallback) and the entropy of its token distribution in bits.
-A text is kept if its base counts pass and each measure lies in the band of its language or, where the
-language has none or is unknown, of its main script.
+Three public vocabularies measure each whole text: byte-level BPE for English and for many languages, and
+pieces with byte fallback. Each gives characters per token, the share of tokens that are only part of a
+character (byte-level) or byte fallback (pieces) and the entropy of its token distribution in bits. A text
+is kept if its base counts pass and each measure of each vocabulary lies in that vocabulary's band of its
+language or, where the language has none or is unknown, of its main script. The measures in the result are
+those of the first vocabulary; the others read only texts that have passed so far.
 
 The bands of en, de, fr, es and of Latin script are learnt (``learn_bands``) from a bounded sample: rows
 labelled quality = 1 that pass the base counts, up to SAMPLE of each language by MD5 of doc_id, of the table
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import math
+from array import array
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -37,6 +40,7 @@ from wavegrid.llm._store import ship
 from wavegrid.llm._text import Words, chunks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARIES = (VOCABULARY, "/opt/tokenizers/byte_bpe_multi_50k.tiktoken", "/opt/tokenizers/piece_bpe_32k.model")
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 MIN_TOKENS = 50
@@ -111,12 +115,47 @@ class Bands:
     )
 
 
-def load_vocabulary(path: str = VOCABULARY) -> tuple[dict[bytes, int], str]:
-    """(ranks, pattern) of a tiktoken file; read by the driver and broadcast, a few MB."""
+#: Wide guesses for the scripts without labelled rows.
+OTHER_SCRIPTS = {k: v for k, v in Bands().scripts.items() if k != "latin"}
+#: The bands of each of VOCABULARIES.
+BANDS = (
+    Bands(),
+    Bands(
+        {
+            "de": Band((2.4552, 8.0), (0.0, 0.04), (-0.3707, 1.2023), (-0.0332, 0.8216, 1.805), (6.9773, 13.4493), 2.7836),
+            "en": Band((2.2244, 8.0), (0.0, 0.04), (-0.4954, 1.221), (-0.0377, 0.9406, 1.2135), (6.7415, 13.3062), 2.7285),
+            "es": Band((2.2415, 8.0), (0.0, 0.04), (-0.5593, 1.5353), (-0.0366, 0.8837, 1.472), (6.9425, 12.7576), 2.5039),
+            "fr": Band((2.0243, 8.0), (0.0, 0.04), (-0.5064, 1.4535), (-0.0317, 0.7804, 2.0042), (6.9887, 13.5706), 2.4868),
+        },
+        {
+            "latin": Band((1.9695, 8.0), (0.0, 0.04), (-0.635, 1.4241), (-0.0366, 0.9026, 1.4065), (6.7415, 13.5706), 2.7352),
+            **OTHER_SCRIPTS,
+        },
+    ),
+    Bands(
+        {
+            "de": Band((2.2856, 8.0), (0.0, 0.0529), (-0.3922, 1.2878), (-0.0315, 0.7758, 1.9927), (7.0334, 13.4921), 2.7018),
+            "en": Band((2.0586, 8.0), (0.0, 0.0529), (-0.4213, 0.907), (-0.0373, 0.9184, 1.3222), (6.7549, 13.314), 2.7092),
+            "es": Band((2.055, 8.0), (0.0, 0.0529), (-0.5198, 1.5869), (-0.0378, 0.9095, 1.3395), (7.0, 12.8386), 2.3653),
+            "fr": Band((1.8562, 8.0), (0.0, 0.0529), (-0.565, 1.4779), (-0.0317, 0.7702, 2.0083), (7.0444, 13.6114), 2.4236),
+        },
+        {
+            "latin": Band((1.8, 8.0), (0.0, 0.0529), (-0.6532, 1.6168), (-0.036, 0.8781, 1.5205), (6.7549, 13.6114), 2.7019),
+            **OTHER_SCRIPTS,
+        },
+    ),
+)
+
+
+def load_vocabularies(paths: tuple[str, ...] = VOCABULARIES) -> tuple[list[tuple[str, bytes]], str]:
+    """(name and content of each file, split pattern); read by the driver and broadcast, a few MB."""
     from public_tokenizers import PATTERN
 
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, PATTERN
+    out = []
+    for path in paths:
+        with open(path, "rb") as f:
+            out.append((path, f.read()))
+    return out, PATTERN
 
 
 def main_script(text: str) -> str:
@@ -160,24 +199,30 @@ def duplicate_lines(raw: bytes) -> int:
     return n
 
 
-class Judge:
-    """Counts, measures and verdicts of texts; made once in each task."""
+class Fertility:
+    """(tokens, characters per token, byte-fallback share, entropy) of whole texts by one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, bands: Bands) -> None:
-        import tiktoken
+    def __init__(self, name: str, content: bytes, pattern: str) -> None:
+        if name.endswith(".model"):
+            import sentencepiece
 
-        self.encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.bands = bands
-        self.partial = np.zeros(max(ranks.values()) + 1, bool)
-        for token, i in ranks.items():
-            try:
-                token.decode()
-            except UnicodeDecodeError:
-                self.partial[i] = True
-
-    def fertility(self, text: str) -> tuple[int, float, float, float]:
-        """(tokens, characters per token, byte-fallback share, entropy) of a whole text."""
-        ids = np.array(self.encoding.encode_ordinary(text), np.int64)
+            pieces = sentencepiece.SentencePieceProcessor(model_proto=content)
+            self.encode = lambda text: pieces.encode(text, num_threads=1)
+            self.partial = np.array([pieces.is_byte(i) for i in range(pieces.get_piece_size())])
+        else:
+            import tiktoken
+
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+            self.encode = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.partial = np.zeros(max(ranks.values()) + 1, bool)
+            for token, i in ranks.items():
+                try:
+                    token.decode()
+                except UnicodeDecodeError:
+                    self.partial[i] = True
+
+    def __call__(self, text: str) -> tuple[int, float, float, float]:
+        ids = np.array(array("i", self.encode(text)))
         if not len(ids):
             return 0, 0.0, 0.0, 0.0
         ids.sort()
@@ -185,9 +230,19 @@ class Judge:
         share = counts / len(ids)
         return len(ids), len(text) / len(ids), float(self.partial[ids].mean()), float(-(share * np.log2(share)).sum())
 
-    def in_band(self, text: str, lang: str | None, n: int, chars: float, share: float, entropy: float) -> bool:
-        band = self.bands.languages.get(lang) or self.bands.scripts[main_script(text)]
-        return band.holds(n, chars, share, entropy)
+
+class Judge:
+    """Counts, measures and verdicts of texts; made once in each task."""
+
+    def __init__(self, vocabularies: list[tuple[str, bytes]], pattern: str, bands: tuple[Bands, ...]) -> None:
+        self.fertility = [Fertility(name, content, pattern) for name, content in vocabularies]
+        self.bands = bands
+
+    def in_bands(self, text: str, lang: str | None, first: tuple[int, float, float, float]) -> bool:
+        """Whether all vocabularies' measures hold; first has those of the first."""
+        script = None if all(lang in b.languages for b in self.bands) else main_script(text)
+        of = lambda b: b.languages.get(lang) or b.scripts[script]
+        return all(of(b).holds(*(f(text) if i else first)) for i, (f, b) in enumerate(zip(self.fertility, self.bands, strict=True)))
 
     def __call__(self, texts: list[str | None], langs: list[str | None]) -> dict[str, np.ndarray]:
         raw = [(x or "").encode() for x in texts]
@@ -203,10 +258,10 @@ class Judge:
             out["word_chars"][i] = len(text) - (len(x) - len(x.translate(None, b" \t\n\r\x0b\x0c")))
             out["n_symbols"][i] = len(x) - len(x.translate(None, SYMBOLS))
             out["n_dup_lines"][i] = duplicate_lines(x)
-            n_tokens, chars, share, entropy = self.fertility(text)
-            out["n_tokens"][i], out["chars_per_token"][i], out["byte_share"][i], out["entropy"][i] = n_tokens, chars, share, entropy
+            first = self.fertility[0](text)
+            out["n_tokens"][i], out["chars_per_token"][i], out["byte_share"][i], out["entropy"][i] = first
             out["base_failed"][i] = out["n_words"][i] < MIN_WORDS or 100 * out["n_repeat_words"][i] > REPEAT_PERCENT * out["n_words"][i]
-            out["kept"][i] = not out["base_failed"][i] and self.in_band(text, langs[i], n_tokens, chars, share, entropy)
+            out["kept"][i] = not out["base_failed"][i] and self.in_bands(text, langs[i], first)
         return out
 
 
@@ -216,9 +271,9 @@ _FIELDS = (
 )
 
 
-def judge(docs: DataFrame, vocabulary: str = VOCABULARY, bands: Bands = Bands()) -> DataFrame:
+def judge(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, bands: tuple[Bands, ...] = BANDS) -> DataFrame:
     """doc_id with all counts, measures, base_failed and kept."""
-    shared = docs.sparkSession.sparkContext.broadcast((*load_vocabulary(vocabulary), bands))  # one vocabulary file
+    shared = docs.sparkSession.sparkContext.broadcast((*load_vocabularies(vocabularies), bands))  # three vocabulary files
 
     def run(batches):
         j = Judge(*shared.value)
@@ -230,9 +285,9 @@ def judge(docs: DataFrame, vocabulary: str = VOCABULARY, bands: Bands = Bands())
     return docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id {kind}, {_FIELDS}")
 
 
-def keep_good(docs: DataFrame, vocabulary: str = VOCABULARY, bands: Bands = Bands()) -> DataFrame:
+def keep_good(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, bands: tuple[Bands, ...] = BANDS) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast((*load_vocabulary(vocabulary), bands))
+    shared = docs.sparkSession.sparkContext.broadcast((*load_vocabularies(vocabularies), bands))
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches):
@@ -246,7 +301,7 @@ def keep_good(docs: DataFrame, vocabulary: str = VOCABULARY, bands: Bands = Band
 def learn_bands(docs: DataFrame, labels: DataFrame, vocabulary: str = VOCABULARY) -> dict[str, Band]:
     """Bands by language, and one named latin of all, from at most SAMPLE good rows a language."""
     good = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
-    measured = judge(good, vocabulary).where("not base_failed").join(good.select("doc_id", "lang"), "doc_id")
+    measured = judge(good, (vocabulary,), (Bands(),)).where("not base_failed").join(good.select("doc_id", "lang"), "doc_id")
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string"))))
     rows = measured.withColumn("place", place).where(F.col("place") <= SAMPLE).select("lang", "n_tokens", "chars_per_token", "byte_share", "entropy").collect()  # SAMPLE a language
     of = lambda lang: np.array([r[1:] for r in rows if lang in (r.lang, "latin")], np.float64)
