@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavegrid.llm import _blocks as B
 from wavegrid.llm._graph import components
@@ -235,8 +236,8 @@ def _stars(lists: DataFrame, keys: list[str]) -> DataFrame:
     return lists.join(hub.where("length > 1"), keys).where("set_key <> hub.set_key")
 
 
-def join_components(documents: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach) of each document."""
+def _rooted(documents: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, set_key, n_shingles and the component's root of documents with a set; the same without root of the others."""
     light = light_boundary(threshold)
     docs, _, ranges = B.in_blocks(documents, ["doc_id", "text"])
     sent = docs.groupBy("block").applyInArrow(_sender(width, ranges), B.ENTRY)
@@ -262,17 +263,45 @@ def join_components(documents: DataFrame, width: int = 5, threshold: int = 80) -
     roots = components(heavy_edges.unionByName(light_edges)).select(F.col("node").alias("set_key"), "root")
     keyed = sets.select("doc_id", "set_key", "n_shingles")
     some = keyed.where("set_key is not null").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+    return some, keyed.where("set_key is null")
+
+
+def join_components(documents: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach) of each document."""
+    some, empty = _rooted(documents, width, threshold)
     smallest = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = some.join(smallest, "root").select("doc_id", F.col("n_shingles").cast("long"), "component_id")
-    alone = keyed.where("set_key is null").select("doc_id", F.col("n_shingles").cast("long"), F.col("doc_id").alias("component_id"))
+    alone = empty.select("doc_id", F.col("n_shingles").cast("long"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
 
 
+def _with_set_key(documents: DataFrame, width: int) -> DataFrame:
+    """documents with _set, the set's key; null where the set is empty."""
+    text = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            keys = [None] * batch.num_rows
+            for i, s in text_sets([x and x.encode() for x in batch.column(text).to_pylist()], width):
+                keys[i] = _signed(_set_key(s))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_set"])
+
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_set", T.LongType())]))
+
+
 def keep_one(documents: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """The document with the smallest doc_id of each component, with all its columns; rows without doc_id stay."""
-    kept = join_components(documents, width, threshold).where("doc_id = component_id").select("doc_id")
-    named = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # the join has dealt the rows by doc_id already
-    return named.unionByName(documents.where("doc_id is null"))
+    """One document of each component, with all its columns: the smallest (doc_id, set key), null doc_ids last.
+
+    Of rows with an empty set, one stays for each doc_id, and all without doc_id stay.
+    """
+    some, empty = _rooted(documents, width, threshold)
+    best = some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set_key")).alias("best"))
+    kept = best.select("best.doc_id", F.col("best.set_key").alias("_set")).unionByName(empty.where("doc_id is not null").select("doc_id", F.col("set_key").alias("_set")))
+    keys = {"_unnamed": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_blank": F.col("_set").isNull(), "_set": F.coalesce("_set", F.lit(0))}
+    # keys without nulls, so that the join deals the rows as dropDuplicates needs them
+    one = _with_set_key(documents, width).withColumns(keys).join(kept.withColumns(keys).select(*keys), [*keys], "left_semi").dropDuplicates([*keys])
+    blank = documents.where(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return one.select(*documents.columns).unionByName(blank)
 
 
 ship(__name__)
