@@ -377,12 +377,21 @@ def plain_components(rows, width, threshold):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def plain_links(rows, width, threshold):
+    """Other rows that each row links with."""
+    words = [WORD.findall(low(r[1])) for r in rows]
+    sets = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set() for w in words]
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= threshold * len(a | b)
+    return Counter((r[0], sum(linked(a, b) for j, b in enumerate(sets) if j != i)) for i, (r, a) in enumerate(zip(rows, sets, strict=True)))
+
+
 @pytest.mark.parametrize(("width", "threshold"), [(4, 85), (5, 80), (1, 60)])
 def test_ngram_join(docs, rows, width, threshold):
     want = plain_components(rows, width, threshold)
     out = ngram_join.join_components(docs, width, threshold).collect()
     assert len(out) == len(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+    assert Counter((r.doc_id, r.n_links) for r in out) == plain_links(rows, width, threshold)
 
 
 def test_ngram_join_across_chunks(spark):
@@ -394,12 +403,14 @@ def test_ngram_join_across_chunks(spark):
         w = list(base)
         w[rng.randrange(60)] = f"q{i}"
         rows.append((i, " ".join(w) if i % 9 else " ".join([*w[: 30 + i // 3], f"r{i}"])))
+    rows += [(60 + i, rows[i][1]) for i in range(0, 60, 7)]
     before, ngram_join.GROUP = ngram_join.GROUP, 7
     try:
         out = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
     finally:
         ngram_join.GROUP = before
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == plain_components(rows, 3, 80)
+    assert Counter((r.doc_id, r.n_links) for r in out) == plain_links(rows, 3, 80)
 
 
 def test_keep_one(docs, rows, none):
@@ -411,12 +422,37 @@ def test_keep_one(docs, rows, none):
 
 def test_light_subsets_prove_links():
     for t in (80, 85):
-        for a in range(1, ngram_join.light_boundary(t) + 1):
-            for b in range(a, ngram_join.light_boundary(t) + 1):
+        for a in range(1, ngram_join.largest_light(t) + 1):
+            for b in range(a, ngram_join.largest_light(t) + 1):
                 o = ngram_join.least_overlap(a, b, t)
                 assert o > a or (o in ngram_join._overlaps(a, t) and o in ngram_join._overlaps(b, t)) == (100 * a >= t * b)
 
 
+def test_boundary_follows_the_sizes():
+    """More short sets that heavy ones may link with make it worth to list their subsets."""
+    of = lambda sets: ngram_join.light_boundary(85, sets)
+    assert of({}) == 0 and of({500: 9}) == 0
+    found = {of({s: 100, 500: 9}) for s in range(1, 20)}
+    assert len(found) > 3 and max(found) <= ngram_join.largest_light(85)
+    for s in range(1, 8):
+        assert of({s: 100}) >= s
+
+
+@pytest.mark.parametrize("sets", [{}, {9: 10, 12: 10}, {20: 1}])
+def test_any_boundary_gives_the_same_links(spark, docs, rows, sets, monkeypatch):
+    monkeypatch.setattr(ngram_join, "_sizes", lambda *a: (1000, sets))
+    out = ngram_join.join_components(docs, 4, 85).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == plain_components(rows, 4, 85)
+    assert Counter((r.doc_id, r.n_links) for r in out) == plain_links(rows, 4, 85)
+
+
+def test_ngram_join_without_doc_ids(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    out = ngram_join.join_components(spark.createDataFrame([(None, a), (None, a), (4, a), (None, "b c d e f g"), (None, None)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.component_id, r.n_links) for r in out if r.component_id) == [(False, 4, 2), (True, 4, 2), (True, 4, 2)]
+    assert [r.n_links for r in out if r.component_id is None] == [0, 0]
+
+
 # 9 ---------------------------------------------------------------------------------------------------
 
 

@@ -40,10 +40,11 @@ def unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
 
 
-def in_blocks(documents: DataFrame, columns: list[str]) -> tuple[DataFrame, int, int]:
-    """Documents with a column block, the number of blocks and of key ranges."""
+def in_blocks(documents: DataFrame, columns: list[str], size: int | None = None) -> tuple[DataFrame, int, int]:
+    """Documents with a column block, the number of blocks and of key ranges; size: bytes of all texts, if known."""
     spark = documents.sparkSession
-    size = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size is None:
+        size = documents.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(partitions(spark), -(-size // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int")
     return documents.select(block.alias("block"), *columns), blocks, 2 * blocks

@@ -14,23 +14,21 @@ def components(edges: DataFrame) -> DataFrame:
     In each round every node takes its smallest neighbour or itself, edges are drawn between what
     their ends took, and loops go. The largest node of each component goes with every round, with
     hashed nodes a fixed share of them does. A hub's edges are pre-aggregated, its joins split by
-    adaptive execution; every round ends in a table in the shared folder.
+    adaptive execution. Every round ends in a table in the shared folder, on the way down and on the
+    way back up, so no plan holds more than one round whatever the number of rounds.
     """
-    left = edges.select("u", "v").where("u <> v").distinct()
+    left = materialise(edges.select("u", "v").where("u <> v").distinct(), "edges")
     taken: list[DataFrame] = []
-    while True:
-        left = materialise(left, "edges")
-        if left.isEmpty():
-            break
+    while not left.isEmpty():
         both = left.union(left.select("v", "u"))
         step = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("to")), "step")
         taken.append(step)
         ends = left.join(step.select(F.col("node").alias("u"), F.col("to").alias("a")), "u").join(step.select(F.col("node").alias("v"), F.col("to").alias("b")), "v")
-        left = ends.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        left = materialise(ends.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
     if not taken:
         return left.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    roots = taken[-1].select("node", F.col("to").alias("root"))
-    for step in reversed(taken[:-1]):
+    roots = taken.pop().select("node", F.col("to").alias("root"))
+    while taken:
         later = roots.select(F.col("node").alias("to"), "root")
-        roots = step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+        roots = materialise(taken.pop().join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")), "roots")
     return roots

@@ -4,21 +4,28 @@ A document's set holds the 64-bit hashes of its distinct shingles; equal sets ar
 sets link when 100 * intersection >= threshold * union. Sets are split by size:
 
 * light sets list, for every overlap c that a partner of theirs may need, all their subsets of c
-  shingles. A common subset of c shingles is proof of the link, so light pairs need no check;
+  shingles; a common subset of c shingles proves the link;
 * heavy sets keep inverted lists of the rarest shingles only: two sets that link share one of the
-  first size - ceil(threshold * size) + 1 in the order of (document frequency, hash). Sets that share
-  such a shingle form a candidate group, and inside a group the inverted lists are scanned to count
-  exact overlaps, skipping pairs that are known to be connected.
+  first size - ceil(threshold * size) + 1 in the order of (document frequency, hash).
 
-The boundary is the largest size at which listing subsets sends no more entries than the inverted
-lists would. Document frequencies are counted over all documents by the dictionary join of ``_blocks``;
-shingles of one document only, the bulk, never leave their block again. Only connectivity is kept: a
-group of m copies gives O(m) rows. Candidate groups over GROUP sets are dealt into pairs of chunks.
+Sets that share a subset or such a shingle form a candidate group, and inside a group inverted lists are
+scanned to count the exact overlap of every pair. That gives edges that connect what is linked, and each
+set's number of links, weighted by copies.
+
+The boundary is the size at which both methods together send the fewest entries, by a histogram of text
+sizes counted over the whole table. Document frequencies are counted over all documents by the dictionary
+join of ``_blocks``; shingles of one document only, the bulk, never leave their block again. (A block
+clips its counts at 255 and a range at 65,535: the order of prefixes is any total order, the same
+everywhere, so that changes the length of some lists, never a result.)
+
+A candidate group of over GROUP sets is never in one task: its sets are dealt by size class, in which
+linked sets are alike or neighbours, and chunks of GROUP; a task compares two chunks. A chunk's rows
+travel once for each chunk of its own and the neighbouring classes.
 
 Defined cases: null, empty or blank text has an empty set, links with nothing and is its own component;
-fewer words than the width make one shingle; repeated rows and equal texts share a component; null
-doc_ids are not eligible as a component's smallest id; an empty table gives an empty result; extra
-columns are ignored.
+fewer words than the width make one shingle; repeated rows and equal texts share a component and count
+each other as links; null doc_ids are not eligible as a component's smallest id (a component of them
+alone has none); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +35,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +43,7 @@ from wavegrid.llm import _blocks as B
 from wavegrid.llm._graph import components
 from wavegrid.llm._store import materialise, ship
 from wavegrid.llm._text import mix64, text_sets
+from wavegrid.llm.words import GAP
 
 #: Largest number of distinct sets that one task compares.
 GROUP = 4000
@@ -55,17 +63,41 @@ def _overlaps(size: int, threshold: int) -> list[int]:
     return sorted({least_overlap(size, b, threshold) for b in range(-(-threshold * size // 100), 100 * size // threshold + 1)} & set(range(1, size + 1)))
 
 
-def light_boundary(threshold: int) -> int:
-    """Largest size up to which all subsets cost no more entries than the inverted lists.
+def _signatures(size: int, threshold: int) -> int:
+    """Entries of a light set: its subsets."""
+    return sum(math.comb(size, c) for c in _overlaps(size, threshold))
 
-    A set of size s sends s shingles, gets up to s answers and keeps a prefix in inverted lists.
-    """
+
+def _entries(size: int, threshold: int) -> int:
+    """Entries of a heavy set: its shingles, the answers to them and its inverted lists."""
+    return 2 * size + prefix_length(size, threshold)
+
+
+def largest_light(threshold: int) -> int:
+    """No set beyond this size is light: its subsets cost over four times the inverted lists."""
     size = 0
-    while True:
-        s = size + 1
-        if sum(math.comb(s, c) for c in _overlaps(s, threshold)) > 2 * s + prefix_length(s, threshold):
-            return size
-        size = s
+    while _signatures(size + 1, threshold) <= 4 * _entries(size + 1, threshold):
+        size += 1
+    return size
+
+
+def light_boundary(threshold: int, sets: dict[int, int]) -> int:
+    """Size up to which sets are light, so that the fewest entries are sent; sets: how many there are of each size.
+
+    Light sets that a heavy set may link with stand in inverted lists as well, which is what a higher boundary saves.
+    """
+
+    def cost(light: int) -> int:
+        seam = -(-threshold * (light + 1) // 100)
+        total = 0
+        for s, n in sets.items():
+            if 0 < s <= light:
+                total += n * (_signatures(s, threshold) + (_entries(s, threshold) if s >= seam else 0))
+            elif s > light:
+                total += n * _entries(s, threshold)
+        return total
+
+    return min(range(largest_light(threshold) + 1), key=lambda b: (cost(b), b))
 
 
 def _set_key(s: np.ndarray) -> int:
@@ -150,13 +182,13 @@ def _finisher(width: int, threshold: int, light: int):
             set_key[i], size[i] = _signed(_set_key(s)), len(s)
             if len(s) <= light:
                 subsets[i] = [{"c": c, "signature": x} for c, x in _subsets(s, threshold)]
-            if len(s) < inverted_from:
-                continue
             at, there = B.find(k, s)
+            mine = s[there]
+            if len(s) <= light and len(mine):
+                shared[i] = mine.tobytes()
             room = prefix_length(len(s), threshold) - int(np.count_nonzero(~there))
-            if room > 0:
-                mine, df = s[there], v[at[there]]
-                prefix[i] = mine[np.lexsort((mine, df))[:room]].astype(np.int64).tolist()
+            if len(s) >= inverted_from and room > 0:
+                prefix[i] = mine[np.lexsort((mine, v[at[there]]))[:room]].astype(np.int64).tolist()
                 shared[i] = mine.tobytes()
         kind = pa.list_(pa.struct([("c", pa.int32()), ("signature", pa.int64())]))
         return pa.table(
@@ -170,62 +202,49 @@ def _finisher(width: int, threshold: int, light: int):
 
 
 def _compare(threshold: int):
-    """Edges that connect the linked sets of one group, or those across its two chunks."""
+    """Links of the sets of one group, or of those across two of its chunks: edges that connect the linked, and numbers of links.
+
+    A row (u, v, null) is an edge, a row (u, null, n) says that u links with n documents of other sets here.
+    """
 
     def compare(key, t):
-        first, second = key[1].as_py(), key[2].as_py()
-        size = np.array(t.column("n_shingles").to_pylist(), np.int64)
-        order = np.lexsort((np.array(t.column("set_key").to_pylist(), np.int64), size))
-        nodes = np.array(t.column("set_key").to_pylist(), np.int64)[order]
-        chunk = np.array(t.column("chunk").to_pylist(), np.int64)[order]
-        size = size[order]
+        across = key[1].as_py() != key[2].as_py()
+        column = lambda c: t.column(c).to_numpy()
+        order = np.lexsort((column("set_key"), column("n_shingles")))
+        node, size, chunk, copies = (column(c).astype(np.int64)[order] for c in ("set_key", "n_shingles", "chunk", "copies"))
         blobs = t.column("shared").to_pylist()
         sets = [np.frombuffer(blobs[i], np.uint64) for i in order]
         m = len(sets)
-        need = lambda a, b: -(-threshold * (a + b) // (100 + threshold))
-        tokens = np.concatenate(sets)
         owner = np.repeat(np.arange(m), [len(s) for s in sets])
-        _, dense = np.unique(tokens, return_inverse=True)
-        by_token = np.argsort(dense, kind="stable")
-        lists, starts = owner[by_token], np.concatenate(([0], np.cumsum(np.bincount(dense))))
+        _, dense = np.unique(np.concatenate(sets), return_inverse=True)
+        lists, starts = owner[np.argsort(dense, kind="stable")], np.concatenate(([0], np.cumsum(np.bincount(dense))))
         at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-        parent = list(range(m))
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
+        label, links = np.arange(m), np.zeros(m, np.int64)  # the component so far; documents linked with
         edges: list[tuple[int, int]] = []
-        latest: dict[int, int] = {}  # a component's root -> its newest member, the likeliest partner
-
-        def join(i: int, j: int) -> None:
-            a, b = root(i), root(j)
-            if a != b:
-                parent[b] = a
-                edges.append((int(nodes[i]), int(nodes[j])))
-                latest.pop(b, None)
-                latest[a] = i
-
-        across = first != second
+        first = np.searchsorted(100 * size, threshold * size)  # smaller sets cannot link
         for i in range(m):
-            latest[i] = i
-            for r in list(latest)[-8:]:
-                j = latest.get(r)
-                if j is not None and root(j) != root(i) and not (across and chunk[j] == chunk[i]):
-                    if len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= need(size[i], size[j]):
-                        join(i, j)
-            if len(latest) == 1 and not across:
-                continue  # all sets so far are connected
             mine = dense[at[i] : at[i + 1]]
-            found = np.bincount(np.concatenate([lists[starts[x] : starts[x + 1]] for x in mine]), minlength=m)[:i] if len(mine) else np.zeros(i, np.int64)
-            ok = found >= need(size[:i], size[i])
+            found = np.bincount(np.concatenate([lists[starts[x] : starts[x + 1]] for x in mine]), minlength=m)[first[i] : i]
+            ok = found * (100 + threshold) >= threshold * (size[first[i] : i] + size[i])
             if across:
-                ok &= chunk[:i] != chunk[i]
-            for j in np.flatnonzero(ok):
-                join(i, int(j))
-        return pa.table({"u": pa.array([e[0] for e in edges], pa.int64()), "v": pa.array([e[1] for e in edges], pa.int64())})
+                ok &= chunk[first[i] : i] != chunk[i]
+            js = np.flatnonzero(ok) + first[i]
+            if not len(js):
+                continue
+            links[i] += copies[js].sum()
+            links[js] += copies[i]
+            others, one_of = np.unique(label[js], return_index=True)
+            edges += [(int(node[i]), int(node[js[x]])) for x in one_of]
+            label[np.isin(label[:i], others).nonzero()[0]] = i
+        some = np.flatnonzero(links)
+        u = np.concatenate(([e[0] for e in edges], node[some])).astype(np.int64)
+        nothing = [None] * len(edges)
+        return pa.table(
+            {
+                "u": pa.array(u), "v": pa.array([e[1] for e in edges] + [None] * len(some), pa.int64()),
+                "n": pa.array(nothing + links[some].tolist(), pa.int64()),
+            }
+        )
 
     return compare
 
@@ -236,10 +255,43 @@ def _stars(lists: DataFrame, keys: list[str]) -> DataFrame:
     return lists.join(hub.where("length > 1"), keys).where("set_key <> hub.set_key")
 
 
-def _rooted(documents: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, set_key, n_shingles and the component's root of documents with a set; the same without root of the others."""
-    light = light_boundary(threshold)
-    docs, _, ranges = B.in_blocks(documents, ["doc_id", "text"])
+def _sizes(documents: DataFrame, width: int, threshold: int) -> tuple[int, dict[int, int]]:
+    """(bytes of all texts, number of texts of each size that could be light); a text's size is that of its set but for repeated shingles."""
+    most = largest_light(threshold) + width
+    words = F.size(F.filter(F.split("text", GAP, most + 2), lambda w: w != ""))  # stops splitting there
+    size = F.when(words > 0, F.greatest(F.lit(1), F.least(words, F.lit(most)) - (width - 1))).otherwise(0)
+    rows = documents.where("text is not null").groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # most rows
+    return sum(r["bytes"] for r in rows), {r["size"]: r["n"] for r in rows}
+
+
+def _chunked(members: DataFrame, threshold: int) -> DataFrame:
+    """members once for each pair (a, b) of chunks of their group in which they are compared."""
+    total = Window.partitionBy("grp")
+    ratio = math.log(100 / threshold)
+    # linked sets are in the same size class or in neighbouring ones
+    by_class = members.groupBy("grp", F.floor(F.log("n_shingles") / ratio).cast("long").alias("class")).agg(F.count(F.lit(1)).alias("m"))
+    by_class = by_class.withColumn("all", F.sum("m").over(total))  # a few dozen classes a group
+    plan = by_class.groupBy("grp").agg(F.first("all").alias("all"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("m") / GROUP).alias("chunks")))).alias("chunks"))
+    rows = members.join(plan, "grp")
+    whole = F.col("all") <= GROUP
+    mine = F.when(whole, F.lit(0)).otherwise(F.floor(F.log("n_shingles") / ratio)).cast("long")
+    cell = lambda k, i: F.shiftleft(k, 32) + i
+    chunk = F.when(whole, F.lit(0)).otherwise(cell(mine, F.pmod(F.xxhash64("set_key"), F.col("chunks")[mine])))
+    near = F.flatten(
+        F.transform(
+            F.filter(F.array(mine - 1, mine, mine + 1), lambda k: F.map_contains_key("chunks", k)),
+            lambda k: F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks")[k] - 1), lambda i: cell(k, i)),
+        )
+    )
+    rows = rows.withColumn("chunk", chunk).withColumn("other", F.explode(F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(near)))
+    return rows.select("grp", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "set_key", "n_shingles", "copies", "shared", "chunk")
+
+
+def _linked(documents: DataFrame, width: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, set_key, n_shingles of each document; set_key, root, n_links of each distinct set that is not empty)."""
+    size, histogram = _sizes(documents, width, threshold)
+    light = light_boundary(threshold, histogram)
+    docs, _, ranges = B.in_blocks(documents, ["doc_id", "text"], size)
     sent = docs.groupBy("block").applyInArrow(_sender(width, ranges), B.ENTRY)
     answers = sent.groupBy("range").applyInArrow(_answer, "block int, keys binary, values binary")
     finished = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finisher(width, threshold, light), _SETS)
@@ -247,31 +299,29 @@ def _rooted(documents: DataFrame, width: int, threshold: int) -> tuple[DataFrame
 
     proven = sets.where("subsets is not null").select("set_key", "n_shingles", F.explode("subsets").alias("s")).select("set_key", "n_shingles", "s.*").distinct()
     light_edges = _stars(proven, ["c", "signature"]).where(F.col("c") * (100 + threshold) >= threshold * (F.col("n_shingles") + F.col("hub.n_shingles")))
-    light_edges = light_edges.select(F.col("hub.set_key").alias("u"), F.col("set_key").alias("v"))
-
     lists = sets.where("prefix is not null").select("set_key", "n_shingles", F.explode("prefix").alias("shingle")).distinct()
-    candidates = components(_stars(lists, ["shingle"]).select(F.col("hub.set_key").alias("u"), F.col("set_key").alias("v")))
-    members = sets.where("shared is not null").groupBy("set_key", "n_shingles").agg(F.first("shared").alias("shared"))
+    stars = [x.select(F.col("hub.set_key").alias("u"), F.col("set_key").alias("v")) for x in (light_edges, _stars(lists, ["shingle"]))]
+    candidates = components(stars[0].unionByName(stars[1]))
+    members = sets.where("shared is not null").groupBy("set_key", "n_shingles").agg(F.first("shared").alias("shared"), F.count(F.lit(1)).alias("copies"))
     members = members.join(candidates.select(F.col("node").alias("set_key"), F.col("root").alias("grp")), "set_key")
-    counts = candidates.groupBy(F.col("root").alias("grp")).agg(F.count(F.lit(1)).alias("members"))
-    members = members.join(counts, "grp").withColumn("chunks", F.ceil(F.col("members") / GROUP).cast("int"))
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("set_key"), F.col("chunks")).cast("int"))
-    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pairs = pairs.select("grp", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "set_key", "n_shingles", "shared", "chunk")
-    heavy_edges = pairs.groupBy("grp", "a", "b").applyInArrow(_compare(threshold), "u long, v long")
-
-    roots = components(heavy_edges.unionByName(light_edges)).select(F.col("node").alias("set_key"), "root")
+    found = materialise(_chunked(members, threshold).groupBy("grp", "a", "b").applyInArrow(_compare(threshold), "u long, v long, n long"), "links")
+
+    roots = components(found.where("v is not null").select("u", "v")).select(F.col("node").alias("set_key"), "root")
+    links = found.where("n is not null").groupBy(F.col("u").alias("set_key")).agg(F.sum("n").alias("others"))
     keyed = sets.select("doc_id", "set_key", "n_shingles")
-    some = keyed.where("set_key is not null").join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    return some, keyed.where("set_key is null")
+    classes = keyed.where("set_key is not null").groupBy("set_key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("least"))
+    classes = classes.join(roots, "set_key", "left").join(links, "set_key", "left")
+    return keyed, classes.select("set_key", F.coalesce("root", "set_key").alias("root"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "least")
 
 
 def join_components(documents: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id that links reach) of each document."""
-    some, empty = _rooted(documents, width, threshold)
-    smallest = some.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = some.join(smallest, "root").select("doc_id", F.col("n_shingles").cast("long"), "component_id")
-    alone = empty.select("doc_id", F.col("n_shingles").cast("long"), F.col("doc_id").alias("component_id"))
+    """doc_id, n_shingles, component_id (smallest doc_id that links reach) and n_links (documents linked with) of each document."""
+    keyed, classes = _linked(documents, width, threshold)
+    smallest = classes.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
+    named = classes.join(smallest, "root").select("set_key", "component_id", "n_links")
+    size = F.col("n_shingles").cast("long")
+    linked = keyed.join(named, "set_key").select("doc_id", size, "component_id", "n_links")
+    alone = keyed.where("set_key is null").select("doc_id", size, F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)
 
 
@@ -294,8 +344,9 @@ def keep_one(documents: DataFrame, width: int = 5, threshold: int = 80) -> DataF
 
     Of rows with an empty set, one stays for each doc_id, and all without doc_id stay.
     """
-    some, empty = _rooted(documents, width, threshold)
-    best = some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "set_key")).alias("best"))
+    keyed, classes = _linked(documents, width, threshold)
+    empty = keyed.where("set_key is null")
+    best = classes.groupBy("root").agg(F.min(F.struct("least.unnamed", "least.doc_id", "set_key")).alias("best"))
     kept = best.select("best.doc_id", F.col("best.set_key").alias("_set")).unionByName(empty.where("doc_id is not null").select("doc_id", F.col("set_key").alias("_set")))
     keys = {"_unnamed": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_blank": F.col("_set").isNull(), "_set": F.coalesce("_set", F.lit(0))}
     # keys without nulls, so that the join deals the rows as dropDuplicates needs them

@@ -164,8 +164,9 @@ e as (
   select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * common >= 85 * (x.size + y.size - common)),
 both_ways as (select a, b from e union all select b, a from e),
 reach(a, b) as (select a, b from both_ways union select reach.a, both_ways.b from reach join both_ways on reach.b = both_ways.a)
-select d.doc_id, coalesce(n.size, 0)::bigint as n_shingles, least(d.doc_id, coalesce(r.least_id, d.doc_id)) as component_id
-from documents d left join n on d.doc_id = n.doc_id left join (select a, min(b) as least_id from reach group by a) r on d.doc_id = r.a""",
+select d.doc_id, coalesce(n.size, 0)::bigint as n_shingles, least(d.doc_id, coalesce(r.least_id, d.doc_id)) as component_id, coalesce(l.n_links, 0) as n_links
+from documents d left join n on d.doc_id = n.doc_id left join (select a, min(b) as least_id from reach group by a) r on d.doc_id = r.a
+  left join (select a, count(*) as n_links from both_ways group by a) l on d.doc_id = l.a""",
         "op9_chat_formatting": r"""
 with c as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
