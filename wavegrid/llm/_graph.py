@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm._store import materialise
+from wavegrid.llm._store import drop, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,11 +24,17 @@ def components(edges: DataFrame) -> DataFrame:
         step = materialise(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("to")), "step")
         taken.append(step)
         ends = left.join(step.select(F.col("node").alias("u"), F.col("to").alias("a")), "u").join(step.select(F.col("node").alias("v"), F.col("to").alias("b")), "v")
-        left = materialise(ends.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        before, left = left, materialise(ends.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        drop(before)
     if not taken:
         return left.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    roots = taken.pop().select("node", F.col("to").alias("root"))
+    drop(left)
+    roots = last = taken.pop()
+    roots = roots.withColumnRenamed("to", "root")
     while taken:
-        later = roots.select(F.col("node").alias("to"), "root")
-        roots = materialise(taken.pop().join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")), "roots")
+        step = taken.pop()
+        later = roots.withColumnRenamed("node", "to")
+        roots = materialise(step.join(later, "to", "left").select("node", F.coalesce("root", "to").alias("root")), "roots")
+        drop(step, last)
+        last = roots
     return roots

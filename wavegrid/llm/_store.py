@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: id of a table's DataFrame -> (the DataFrame, path)
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 
 
 def ship(name: str) -> None:
@@ -30,12 +34,47 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """Broadcast a value of bounded size; the returned function reads it on an executor, which needs no copy of this package."""
+    box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(box.value)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(id(t))[1])
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_all() -> None:
+    """Delete every table that ``materialise`` has written; for when the results built on them have been consumed."""
+    drop(*[t for t, _ in _WRITTEN.values()])
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there and a lost executor costs nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(table)] = table, path
+    return table
+
+
+def give_back() -> None:
+    """Return a worker's freed memory to the system, as workers live on and later stages share their executor."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def partitions(spark: SparkSession) -> int:
