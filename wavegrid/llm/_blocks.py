@@ -4,7 +4,9 @@ Documents are dealt into blocks by a hash of doc_id. A block sends each of its d
 a count, to the range that owns the key; the range adds up the counts of all blocks and answers each
 block with the values it asked for; the block's documents meet the answers. A key that every document
 holds costs one entry a block, so no key is hot, and no table of all keys is ever broadcast or
-collected. Keys travel as sorted, differenced byte planes in binary columns.
+collected. Keys travel as sorted, differenced byte planes in binary columns. A block sends a range one
+row, and none if it holds no key of it, so the rows are never more than the distinct keys of the blocks,
+which grow with the input; before that, blocks times ranges bounds them.
 """
 
 from __future__ import annotations
@@ -74,23 +76,32 @@ def table(rows: list[dict], fields: list[tuple[str, pa.DataType]]) -> pa.Table:
 ENTRY_FIELDS = [("range", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
 
 
+def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    x = np.sort(x)
+    if not len(x):
+        return x, np.empty(0, np.int64)
+    start = np.concatenate(([0], np.flatnonzero(x[1:] != x[:-1]) + 1))
+    return x[start], np.diff(start, append=len(x))
+
+
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with the sums of their counts."""
+    """Distinct keys in order with the sums of their counts; each array of keys ascends, without repeats."""
     if not keys:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    k, c = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    if not len(k):
-        return k, c
-    first = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
-    return k[first], np.add.reduceat(c, first)
+    if len(keys) == 1:
+        return keys[0], counts[0].astype(np.int64)
+    k, _ = counted(np.concatenate(keys))
+    c = np.zeros(len(k), np.int64)
+    for mine, n in zip(keys, counts, strict=True):
+        c[np.searchsorted(k, mine)] += n.astype(np.int64)
+    return k, c
 
 
 class Tally:
     """Distinct keys and sums of their counts, gathered part by part; merged whenever MERGE keys wait, which bounds its memory."""
 
-    MERGE = 1 << 20
+    MERGE = 1 << 22
 
     def __init__(self) -> None:
         self.keys: list[np.ndarray] = []
@@ -98,6 +109,7 @@ class Tally:
         self.waiting = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """keys ascend, without repeats."""
         self.keys.append(keys)
         self.counts.append(counts)
         self.waiting += len(keys)

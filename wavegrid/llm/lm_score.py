@@ -9,19 +9,22 @@ text's code length is the sum over its decisions of the so mixed estimates, in l
 bits per byte). Where training has never seen a deeper context, the mixture stops at the deepest seen.
 
 The counts are exact and unbounded: blocks of documents send their distinct (DEPTH + 1)-grams and words
-to the ranges that own them (``_blocks``), a range holds all contexts that end in the same two bytes and
-so whole subtrees, and answers each block with the code lengths of its own grams. Only the nodes of
-depths 0 and 1, 256 * 255 at most, are summed at the driver.
+to the ranges that own them (``_blocks``), a range holds all contexts that end in the same three bytes and
+so whole subtrees, and answers each block with the code lengths of its own grams. A range works through
+its grams in slices of whole subtrees. Only the nodes of depths 0 to 2 are summed at the driver: at most
+one count for each three bytes and one sum for each of the 2**16 * 255 nodes, whatever the input's size.
 
 Defined cases: null text counts as empty and holds the end only; without training rows every decision
 costs one bit; repeated rows are scored alike and each is counted; an empty table gives an empty
-result; extra columns are ignored.
+result; a null doc_id is a row like others; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,11 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavegrid.llm import _blocks as B
-from wavegrid.llm._store import materialise, ship
+from wavegrid.llm._store import materialise, share, ship
 from wavegrid.llm._text import LOWER, Words, chunks, mix64
 
 #: Bytes of context. A gram, DEPTH bytes and the next, is packed newest context byte first, next byte last.
 DEPTH = 6
+#: Depths 0 to TOP are summed at the driver; below them, subtrees belong to ranges.
+TOP = 2
+#: Grams that a range works on at once, about.
+SLICE = 1 << 18
 _GRAM, _WORD, _NODE = 0, 1, 2
 
 
@@ -94,12 +101,12 @@ def decisions(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Subtree:
-    """Depths 2 to DEPTH over distinct grams in ascending order.
+    """Depths TOP + 1 to DEPTH over distinct grams in ascending order.
 
     For one decision the deepest nodes are runs of grams, as grams ascend by context and byte; each
     shallower level groups the nodes below it. ones and seen are n x 8: the mixed probability of a one
-    from depth 2 down, and whether training has seen the depth-2 node. nodes and weighted are the
-    depth-2 nodes, (newest context byte << 8 | path), and their weighted log probabilities.
+    from depth TOP + 1 down, and whether training has seen that node. nodes and weighted are the parents
+    of the nodes of depth TOP + 1, (newest TOP context bytes << 8 | path), and the nodes' weighted log probabilities.
     """
 
     def __init__(self, gram: np.ndarray, count: np.ndarray) -> None:
@@ -117,7 +124,7 @@ class Subtree:
             whole = log_kt(a, b)
             at = np.arange(len(start))  # node of the current depth above each deepest node
             mixed, known = (b + 0.5) / (a + b + 1.0), a + b > 0
-            for _ in range(DEPTH - 2):
+            for _ in range(DEPTH - TOP - 1):
                 context = context >> 8
                 up, keys = pd.factorize((context << 8) | way)
                 m = len(keys)
@@ -136,34 +143,40 @@ class Subtree:
 
 
 class Top:
-    """Depths 0 and 1, from the counts of byte pairs and the weighted probabilities of depth 2."""
-
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray, nodes: np.ndarray, weighted: np.ndarray) -> None:
-        """pairs: context byte << 8 | byte; nodes: context byte << 8 | path."""
-        self.kt = [np.full((1, 256), 0.5), np.full((256, 256), 0.5)]
-        self.seen = [np.zeros((1, 256), bool), np.zeros((256, 256), bool)]
-        self.stop = [np.ones((1, 256)), np.ones((256, 256))]
-        path, bit = decisions(pairs & 255)
-        context = np.repeat(pairs >> 8, 8)
-        rest = np.zeros((256, 256))
-        np.add.at(rest, (nodes >> 8, nodes & 255), weighted)
-        for depth in (1, 0):
-            row = context if depth else np.zeros_like(context)
-            a, b = np.zeros((256 if depth else 1, 256)), np.zeros((256 if depth else 1, 256))
+    """Depths 0 to TOP, from the counts of TOP context bytes and the next, and the weighted probabilities below."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, nodes: np.ndarray, weighted: np.ndarray) -> None:
+        """grams: context bytes, the newest first, then the byte; nodes: the same context bytes, then the path."""
+        contexts = np.unique(grams >> 8)
+        #: Row of each TOP context bytes in the tables of depth TOP; unseen ones share the last.
+        self.slot = np.full(1 << (8 * TOP), len(contexts), np.int32)
+        self.slot[contexts] = np.arange(len(contexts))
+        self.kt, self.stop, self.seen = [], [], []
+        path, bit = decisions(grams & 255)
+        rest = np.bincount(self.slot[nodes >> 8].astype(np.int64) << 8 | (nodes & 255), weights=weighted, minlength=(len(contexts) + 1) << 8).reshape(-1, 256)
+        for depth in range(TOP, -1, -1):
+            row, rows = self._rows(grams >> 8, depth), len(rest)
+            at = ((row[:, None] << 8) | path).ravel()
             weight, ones = np.repeat(counts, 8), bit.ravel() == 1
-            np.add.at(b, (row[ones], path.ravel()[ones]), weight[ones])
-            np.add.at(a, (row[~ones], path.ravel()[~ones]), weight[~ones])
+            b, a = (np.bincount(at[x], weights=weight[x], minlength=rows << 8).reshape(-1, 256) for x in (ones, ~ones))
             own = log_kt(a, b)
-            all_of = np.logaddexp(own, rest) - math.log(2)
-            self.kt[depth], self.seen[depth], self.stop[depth] = (b + 0.5) / (a + b + 1), a + b > 0, np.exp(own - all_of) / 2
-            rest = all_of.sum(axis=0, keepdims=True)
+            whole = np.logaddexp(own, rest) - math.log(2)
+            self.kt.insert(0, (b + 0.5) / (a + b + 1)), self.stop.insert(0, np.exp(own - whole) / 2), self.seen.insert(0, a + b > 0)
+            if depth:
+                up = self._rows(contexts, depth - 1) if depth == TOP else np.arange(rows) >> 8
+                rest = np.zeros((1 << (8 * (depth - 1)), 256))
+                np.add.at(rest, up, whole[: len(up)])
+
+    def _rows(self, context: np.ndarray, depth: int) -> np.ndarray:
+        """Rows of a depth's tables for TOP context bytes."""
+        return self.slot[context].astype(np.int64) if depth == TOP else context.astype(np.int64) >> (8 * (TOP - depth))
 
     def code(self, gram: np.ndarray, p: np.ndarray, seen: np.ndarray) -> np.ndarray:
         """log10 probability of each gram's last byte."""
         path, bit = decisions((gram & np.uint64(255)).astype(np.int64))
-        context = (gram >> np.uint64(8 * DEPTH)).astype(np.int64)[:, None]
-        for depth in (1, 0):
-            at = (context if depth else np.zeros_like(context), path)
+        context = (gram >> np.uint64(8 * (DEPTH + 1 - TOP))).astype(np.int64)
+        for depth in range(TOP, -1, -1):
+            at = (self._rows(context, depth)[:, None], path)
             kt, stop = self.kt[depth][at], self.stop[depth][at]
             p = np.where(seen, stop * kt + (1 - stop) * p, kt)
             seen = self.seen[depth][at]
@@ -171,20 +184,29 @@ class Top:
 
 
 def _gram_range(gram: np.ndarray, ranges: int) -> np.ndarray:
-    """Grams whose contexts end in the same two bytes share a range."""
-    return (mix64(gram >> np.uint64(8 * (DEPTH - 1))) % np.uint64(ranges)).astype(np.int64)
+    """Grams whose contexts end in the same TOP + 1 bytes share a range."""
+    return (mix64(gram >> np.uint64(8 * (DEPTH - TOP))) % np.uint64(ranges)).astype(np.int64)
 
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of each element, distinct elements in order of appearance)."""
-    at, u = pd.factorize(x)
-    return at, np.asarray(u, np.uint64)
+def _slices(gram: np.ndarray) -> Iterator[slice]:
+    """Slices of about SLICE ascending grams, of whole subtrees each."""
+    subtree = gram >> np.uint64(8 * (DEPTH - TOP))
+    start = 0
+    while start < len(gram):
+        stop = int(np.searchsorted(subtree, subtree[min(start + SLICE, len(gram)) - 1], side="right"))
+        yield slice(start, stop)
+        start = stop
 
 
 def _ranges_of(kind: int, keys: np.ndarray, ranges: int) -> np.ndarray:
     return _gram_range(keys, ranges) if kind == _GRAM else B.range_of(keys, ranges)
 
 
+def _by_range(r: np.ndarray) -> np.ndarray:
+    """A stable order by range; short integers are sorted by radix."""
+    return np.argsort(r.astype(np.uint16) if not len(r) or r.max() < 1 << 16 else r, kind="stable")
+
+
 def _sender(ranges: int):
     def send(key, t):
         texts, learn = B.texts_of(t), np.array(t.column("learn").to_pylist(), bool)
@@ -192,15 +214,16 @@ def _sender(ranges: int):
         for a, b in chunks(texts):
             gram, n = stream(texts[a:b])
             w = Words(texts[a:b])
-            for kind, x, owner in ((_GRAM, gram, np.repeat(np.arange(b - a), n)), (_WORD, w.hash, w.text)):
-                at, u = _distinct(x)
-                found[kind].add(u, np.bincount(at, weights=learn[a:b][owner], minlength=len(u)).astype(np.int64))
+            for kind, x, taught in ((_GRAM, gram, np.repeat(learn[a:b], n)), (_WORD, w.hash, learn[a:b][w.text])):
+                for part in (taught, ~taught):
+                    u, c = B.counted(x[part])
+                    found[kind].add(u, c if part is taught else np.zeros(len(u), np.int64))
         rows = []
         for kind, tally in found.items():
             k, c = tally.total()
             r = _ranges_of(kind, k, ranges)
-            order = np.argsort(r, kind="stable")
-            rows += B.entries(key[0].as_py(), kind, r[order], k[order], c[order].astype(np.uint32))
+            order = _by_range(r)
+            rows += B.entries(key[0].as_py(), kind, r[order], k[order], c[order].astype(np.uint64))
         return B.table(rows, B.ENTRY_FIELDS)
 
     return send
@@ -211,42 +234,44 @@ def _merged(t, kind: int) -> tuple[list[int], list[np.ndarray], np.ndarray, np.n
     mine = [i for i, k in enumerate(t.column("kind").to_pylist()) if k == kind]
     blocks, blobs, counts = (t.column(c).to_pylist() for c in ("block", "keys", "counts"))
     keys = [B.unpack_keys(blobs[i]) for i in mine]
-    k, c = B.summed(keys, [B.unpack(counts[i], np.uint32) for i in mine])
+    k, c = B.summed(keys, [B.unpack(counts[i], np.uint64) for i in mine])
     return [blocks[i] for i in mine], keys, k, c
 
 
 def _top_parts(t):
-    """A range's part of the top: byte pair counts, depth-2 sums by (context byte, path), word totals."""
+    """A range's part of the top: counts of TOP context bytes and the next, sums by (context bytes, path), word totals."""
     _, _, gram, count = _merged(t, _GRAM)
     _, _, _, words = _merged(t, _WORD)
-    kinds, keys, values = [_WORD, _WORD], [0, 1], [float(np.count_nonzero(words)), float(words.sum())]
+    kinds, keys, values = [np.array([_WORD, _WORD])], [np.array([0, 1])], [np.array([np.count_nonzero(words), words.sum()], np.float64)]
     gram, count = gram[count > 0], count[count > 0]
-    if len(gram):
-        pair = ((gram >> np.uint64(8 * DEPTH)) << np.uint64(8) | (gram & np.uint64(255))).astype(np.int64)
-        tree = Subtree(gram, count)
-        for kind, key, value in ((_GRAM, pair, count), (_NODE, tree.nodes, tree.weighted)):
+    for part in _slices(gram):
+        g, c = gram[part], count[part]
+        tree = Subtree(g, c)
+        top = ((g >> np.uint64(8 * (DEPTH + 1 - TOP))) << np.uint64(8) | (g & np.uint64(255))).astype(np.int64)
+        for kind, key, value in ((_GRAM, top, c), (_NODE, tree.nodes, tree.weighted)):
             u, at = np.unique(key, return_inverse=True)
-            kinds += [kind] * len(u)
-            keys += u.tolist()
-            values += np.bincount(at, weights=value).tolist()
-    return pa.table({"kind": pa.array(kinds, pa.int32()), "key": pa.array(keys, pa.int64()), "value": pa.array(values, pa.float64())})
+            kinds.append(np.full(len(u), kind))
+            keys.append(u)
+            values.append(np.bincount(at, weights=value))
+    return pa.table({"kind": pa.array(np.concatenate(kinds), pa.int32()), "key": pa.array(np.concatenate(keys), pa.int64()), "value": pa.array(np.concatenate(values), pa.float64())})
 
 
 #: Code lengths travel as whole multiples of 2 ** -20.
 _FINE = float(1 << 20)
+_VALUE = {_GRAM: np.uint32, _WORD: np.uint64}
 
 
-def _answerer(top):
+def _answerer(shared):
     def answer(t):
-        rows, owner = [], t.column("range")[0].as_py()
+        rows, owner, top = [], t.column("range")[0].as_py(), shared()
         for kind in (_GRAM, _WORD):
             blocks, keys, k, c = _merged(t, kind)
-            if not len(k):
-                continue
-            if kind == _GRAM:
-                tree = Subtree(k, c)
-                c = np.rint(-_FINE * top.value.code(k, tree.ones, tree.seen))
-            value = c.astype(np.uint32)
+            value = np.empty(len(k), _VALUE[kind])
+            if kind == _WORD:
+                value[:] = c
+            for part in _slices(k) if kind == _GRAM else ():
+                tree = Subtree(k[part], c[part])
+                value[part] = np.rint(-_FINE * top.code(k[part], tree.ones, tree.seen))
             for b, mine in zip(blocks, keys, strict=True):
                 rows.append({"block": b, "kind": kind, "range": owner, "values": B.pack(value[B.find(k, mine)[0]])})
         return B.table(rows, [("block", pa.int32()), ("kind", pa.int32()), ("range", pa.int32()), ("values", pa.binary())])
@@ -263,23 +288,22 @@ def _finisher(total: int, vocabulary: int, texts_learned: int, ranges: int):
         texts = B.texts_of(docs)
         n = len(texts)
         found, words = {_GRAM: B.Tally(), _WORD: B.Tally()}, []
-        for a, b in chunks(texts):  # words are few and kept numbered; grams, one a byte, are numbered again below
+        for a, b in chunks(texts):  # words are few and kept numbered; grams, one a byte, are taken again below
             w = Words(texts[a:b])
-            at, u = _distinct(w.hash)
+            u, at = np.unique(w.hash, return_inverse=True)
             words.append((at.astype(np.int32), u, w.text.astype(np.int32)))
-            found[_WORD].add(u, np.zeros(len(u), np.int8))
-            u = _distinct(stream(texts[a:b])[0])[1]
-            found[_GRAM].add(u, np.zeros(len(u), np.int8))
+            for kind, keys in ((_WORD, u), (_GRAM, B.counted(stream(texts[a:b])[0])[0])):
+                found[kind].add(keys, np.zeros(len(keys), np.int64))
         tables = {}
         for kind, tally in found.items():
             k, _ = tally.total()
             # a range's values stand in the order of the block's keys in it
             mine = sorted((owners[i], i) for i, x in enumerate(kinds) if x == kind)
-            v = np.concatenate([B.unpack(data[i], np.uint32) for _, i in mine]) if mine else np.empty(0, np.uint32)
+            v = np.concatenate([B.unpack(data[i], _VALUE[kind]) for _, i in mine]) if mine else np.empty(0, _VALUE[kind])
             if len(v) != len(k):
                 raise ValueError(f"{len(v)} answers for {len(k)} keys of a block")
             value = np.empty_like(v)
-            value[np.argsort(_ranges_of(kind, k, ranges), kind="stable")] = v
+            value[_by_range(_ranges_of(kind, k, ranges))] = v
             tables[kind] = k, value
         log_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
         out = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known", "n_bytes")} | {k: np.zeros(n) for k in ("base_score", "score")}
@@ -290,10 +314,13 @@ def _finisher(total: int, vocabulary: int, texts_learned: int, ranges: int):
             out["n_known"][a:b] = np.bincount(owner, weights=(c > 0)[at], minlength=b - a) + (texts_learned > 0)
             out["base_score"][a:b] = np.bincount(owner, weights=log_of(c)[at], minlength=b - a) + log_of(np.float64(texts_learned))
             gram, size = stream(texts[a:b])
-            at, u = _distinct(gram)
+            order = np.argsort(gram)
+            gram = gram[order]
+            start = np.concatenate(([0], np.flatnonzero(gram[1:] != gram[:-1]) + 1))
             k, v = tables[_GRAM]
-            code = (v[B.find(k, u)[0]] / -_FINE)[at]
-            out["n_bytes"][a:b], out["score"][a:b] = size, np.add.reduceat(code, np.cumsum(size) - size)
+            code = np.empty(len(gram), np.int64)
+            code[order] = np.repeat(v[B.find(k, gram[start])[0]], np.diff(start, append=len(gram)))
+            out["n_bytes"][a:b], out["score"][a:b] = size, np.add.reduceat(code, np.cumsum(size) - size) / -_FINE
         return pa.table({"doc_id": pa.array(docs.column("doc_id").to_pylist(), pa.int64()), **{k: pa.array(x) for k, x in out.items()}})
 
     return finish
@@ -307,11 +334,12 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
     texts_learned = documents.where(learned).count()
     sent = materialise(docs.groupBy("block").applyInArrow(_sender(ranges), B.ENTRY), "lm-counts")
     parts = sent.groupBy("range").applyInArrow(_top_parts, "kind int, key long, value double")
-    rows = parts.groupBy("kind", "key").agg(F.sum("value").alias("value")).collect()  # 2 * 2**16 + 2 rows at most
-    of = lambda kind: (np.array([r["key"] for r in rows if r["kind"] == kind], np.int64), np.array([r["value"] for r in rows if r["kind"] == kind]))
-    stats = {r["key"]: int(r["value"]) for r in rows if r["kind"] == _WORD}
-    vocabulary, total = stats.get(0, 0) + (texts_learned > 0), stats.get(1, 0) + texts_learned
-    top = spark.sparkContext.broadcast(Top(*of(_GRAM), *of(_NODE)))
+    sums = parts.groupBy("kind", "key").agg(F.sum("value").alias("value")).toArrow()  # bounded, see above
+    kind, key, value = (sums.column(c).to_numpy() for c in ("kind", "key", "value"))
+    of = lambda k: (key[kind == k], value[kind == k])
+    stats = dict(zip(*of(_WORD), strict=True))
+    vocabulary, total = int(stats.get(0, 0)) + (texts_learned > 0), int(stats.get(1, 0)) + texts_learned
+    top = share(spark, Top(*of(_GRAM), *of(_NODE)))
     answers = sent.groupBy("range").applyInArrow(_answerer(top), "block int, kind int, range int, values binary")
     scored = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finisher(total, vocabulary, texts_learned, ranges), _SCORES)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
