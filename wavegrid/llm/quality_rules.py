@@ -20,7 +20,8 @@ guesses that catch only what the vocabulary cannot read.
 
 Defined cases: null text counts as empty and fails (fewer than 50 words); measures of a text without
 tokens are 0; entropy is judged from MIN_TOKENS tokens on only; a null or unknown language is judged by
-script; repeated rows are judged alike; an empty table gives an empty result; extra columns are ignored
+script; very long texts and runs of blanks are encoded whole, in segments cut where the vocabulary cannot
+tell; a null doc_id is a row like others; repeated rows are judged alike; an empty table gives an empty result; extra columns are ignored
 by ``judge`` and kept by ``keep_good``.
 """
 
@@ -28,15 +29,18 @@ from __future__ import annotations
 
 import base64
 import math
-from array import array
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm._store import ship
+from wavegrid.llm import _blocks as B
+from wavegrid.llm._store import give_back, share, ship
 from wavegrid.llm._text import Words, chunks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -199,11 +203,36 @@ def duplicate_lines(raw: bytes) -> int:
     return n
 
 
+#: Characters that are encoded at once, about; a text without single blanks between ASCII letters or digits is one segment.
+SEGMENT = 1 << 18
+_CUT = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+#: Unicode's white space. Long runs of it are beyond the split pattern's engine.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
+
+
+def segments(text: str, keep_blank: bool) -> Iterator[str]:
+    """Parts of a text whose tokens are those of the text.
+
+    Byte-level tokens hold a blank at their start only and pieces' word marks too, and neither vocabulary's
+    tokens go on from a letter to a blank, so that a single blank between two words is a safe cut. It opens
+    the second part for byte-level vocabularies; pieces get a mark of their own at a part's start instead.
+    """
+    start = 0
+    while len(text) - start > SEGMENT:
+        cut = _CUT.search(text, start + SEGMENT)
+        if cut is None:
+            break
+        yield text[start : cut.start()]
+        start = cut.start() if keep_blank else cut.end()
+    yield text[start:] if start else text
+
+
 class Fertility:
-    """(tokens, characters per token, byte-fallback share, entropy) of whole texts by one vocabulary."""
+    """Tokens, characters per token, byte-fallback share and entropy of whole texts by one vocabulary."""
 
     def __init__(self, name: str, content: bytes, pattern: str) -> None:
-        if name.endswith(".model"):
+        self.byte_level = not name.endswith(".model")
+        if not self.byte_level:
             import sentencepiece
 
             pieces = sentencepiece.SentencePieceProcessor(model_proto=content)
@@ -213,7 +242,8 @@ class Fertility:
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
-            self.encode = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.encoding = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+            self.encode = self._encode
             self.partial = np.zeros(max(ranks.values()) + 1, bool)
             for token, i in ranks.items():
                 try:
@@ -221,14 +251,49 @@ class Fertility:
                 except UnicodeDecodeError:
                     self.partial[i] = True
 
-    def __call__(self, text: str) -> tuple[int, float, float, float]:
-        ids = np.array(array("i", self.encode(text)))
-        if not len(ids):
-            return 0, 0.0, 0.0, 0.0
-        ids.sort()
-        counts = np.diff(np.concatenate(([-1], np.flatnonzero(np.diff(ids)), [len(ids) - 1])))
-        share = counts / len(ids)
-        return len(ids), len(text) / len(ids), float(self.partial[ids].mean()), float(-(share * np.log2(share)).sum())
+    def _encode(self, text: str) -> list[int]:
+        """A run of blanks up to its last one, or to the text's end, is one part of the split pattern; long ones are encoded as such, past the pattern."""
+        if len(text) < 20_000:
+            return self.encoding.encode_ordinary(text)
+        out, start = [], 0
+        for run in _BLANKS.finditer(text):
+            stop = run.end() - (run.end() < len(text))
+            out += self.encoding.encode_ordinary(text[start : run.start()])
+            out += self.encoding._encode_single_piece(text[run.start() : stop])
+            start = stop
+        return out + self.encoding.encode_ordinary(text[start:])
+
+    def __call__(self, texts: list[str]) -> dict[str, np.ndarray]:
+        """A row for each text."""
+        n = len(texts)
+        keys, counts, waiting, held = [], [], [], 0
+        parts = ((i, part) for i, text in enumerate(texts) for part in segments(text, self.byte_level))
+        for i, part in chain(parts, [(-1, "")]):
+            if i >= 0:
+                waiting.append((i, self.encode(part)))
+                held += len(part)
+            if waiting and (i < 0 or held > 4 * SEGMENT):
+                size = [len(x) for _, x in waiting]
+                ids = np.fromiter(chain.from_iterable(x for _, x in waiting), np.int64, sum(size))
+                k, c = B.counted(np.repeat([j for j, _ in waiting], size) << 20 | ids)
+                keys.append(k), counts.append(c)
+                waiting, held = [], 0
+        k, c = B.summed(keys, counts)
+        owner, token = k.astype(np.int64) >> 20, k.astype(np.int64) & ((1 << 20) - 1)
+        total = np.bincount(owner, weights=c, minlength=n)
+        share = c / np.maximum(total, 1)[owner]
+        some = np.maximum(total, 1)
+        return {
+            "n_tokens": total.astype(np.int64),
+            "chars_per_token": np.where(total > 0, np.array([len(x) for x in texts]) / some, 0.0),
+            "byte_share": np.bincount(owner, weights=c * self.partial[token], minlength=n) / some,
+            "entropy": np.abs(np.bincount(owner, weights=-share * np.log2(share), minlength=n)),
+        }
+
+
+MEASURES = ("n_tokens", "chars_per_token", "byte_share", "entropy")
+#: Rows that are judged at once; bounds the Python copies of an Arrow batch.
+ROWS = 512
 
 
 class Judge:
@@ -238,30 +303,36 @@ class Judge:
         self.fertility = [Fertility(name, content, pattern) for name, content in vocabularies]
         self.bands = bands
 
-    def in_bands(self, text: str, lang: str | None, first: tuple[int, float, float, float]) -> bool:
-        """Whether all vocabularies' measures hold; first has those of the first."""
-        script = None if all(lang in b.languages for b in self.bands) else main_script(text)
-        of = lambda b: b.languages.get(lang) or b.scripts[script]
-        return all(of(b).holds(*(f(text) if i else first)) for i, (f, b) in enumerate(zip(self.fertility, self.bands, strict=True)))
+    def _in_bands(self, at: int, measured: dict[str, np.ndarray], texts: list[str], langs: list[str | None]) -> np.ndarray:
+        """Whether each text's measures hold by one vocabulary."""
+        b = self.bands[at]
+        of = lambda text, lang: b.languages.get(lang) or b.scripts[main_script(text)]
+        return np.array([of(*x).holds(*m) for *x, m in zip(texts, langs, zip(*(measured[k].tolist() for k in MEASURES), strict=True), strict=True)], bool)
 
-    def __call__(self, texts: list[str | None], langs: list[str | None]) -> dict[str, np.ndarray]:
+    def __call__(self, texts: list[str | None], langs: list[str | None], measure_all: bool = True) -> dict[str, np.ndarray]:
+        """measure_all: also where the base counts fail."""
         raw = [(x or "").encode() for x in texts]
         n = len(raw)
         out = {k: np.zeros(n, np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")}
-        out |= {k: np.zeros(n) for k in ("chars_per_token", "byte_share", "entropy")} | {k: np.zeros(n, bool) for k in ("base_failed", "kept")}
+        out |= {k: np.zeros(n) for k in MEASURES[1:]}
         for a, b in chunks(raw):
             words = Words(raw[a:b], lower=False)
             out["n_words"][a:b] = words.counts
             out["n_repeat_words"][a:b] = repeat_words(words)
         for i, x in enumerate(raw):
-            text = texts[i] or ""
-            out["word_chars"][i] = len(text) - (len(x) - len(x.translate(None, b" \t\n\r\x0b\x0c")))
+            out["word_chars"][i] = len(texts[i] or "") - (len(x) - len(x.translate(None, b" \t\n\r\x0b\x0c")))
             out["n_symbols"][i] = len(x) - len(x.translate(None, SYMBOLS))
             out["n_dup_lines"][i] = duplicate_lines(x)
-            first = self.fertility[0](text)
-            out["n_tokens"][i], out["chars_per_token"][i], out["byte_share"][i], out["entropy"][i] = first
-            out["base_failed"][i] = out["n_words"][i] < MIN_WORDS or 100 * out["n_repeat_words"][i] > REPEAT_PERCENT * out["n_words"][i]
-            out["kept"][i] = not out["base_failed"][i] and self.in_bands(text, langs[i], first)
+        out["base_failed"] = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > REPEAT_PERCENT * out["n_words"])
+        out["kept"] = ~out["base_failed"]
+        for j, f in enumerate(self.fertility):
+            at = np.flatnonzero(out["kept"] | (j == 0 and measure_all))
+            some, mine = [texts[i] or "" for i in at], [langs[i] for i in at]
+            measured = f(some)
+            if j == 0:
+                for k in MEASURES:
+                    out[k][at] = measured[k]
+            out["kept"][at] &= self._in_bands(j, measured, some, mine)
         return out
 
 
@@ -273,13 +344,16 @@ _FIELDS = (
 
 def judge(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, bands: tuple[Bands, ...] = BANDS) -> DataFrame:
     """doc_id with all counts, measures, base_failed and kept."""
-    shared = docs.sparkSession.sparkContext.broadcast((*load_vocabularies(vocabularies), bands))  # three vocabulary files
+    shared = share(docs.sparkSession, (*load_vocabularies(vocabularies), bands))  # three vocabulary files
 
     def run(batches):
-        j = Judge(*shared.value)
+        j = Judge(*shared())
         for batch in batches:
-            out = j(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **{k: pa.array(out[k]) for k in (f.split()[0] for f in _FIELDS.split(", "))}})
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                out = j(part.column(1).to_pylist(), part.column(2).to_pylist())
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), **{k: pa.array(out[k]) for k in (f.split()[0] for f in _FIELDS.split(", "))}})
+        give_back()
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return docs.select("doc_id", "text", "lang").mapInArrow(run, f"doc_id {kind}, {_FIELDS}")
@@ -287,13 +361,16 @@ def judge(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, bands:
 
 def keep_good(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, bands: tuple[Bands, ...] = BANDS) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast((*load_vocabularies(vocabularies), bands))
+    shared = share(docs.sparkSession, (*load_vocabularies(vocabularies), bands))
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches):
-        j = Judge(*shared.value)
+        j = Judge(*shared())
         for batch in batches:
-            yield batch.filter(pa.array(j(batch.column(text).to_pylist(), batch.column(lang).to_pylist())["kept"]))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array(j(part.column(text).to_pylist(), part.column(lang).to_pylist(), False)["kept"]))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
