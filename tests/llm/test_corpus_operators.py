@@ -200,6 +200,25 @@ def test_lm_score_messy(docs, rows, none):
     assert lm_score.score(none, F.lit(True)).count() == 0
 
 
+def test_lm_score_in_small_slices(spark, docs, monkeypatch):
+    """Slices and block sizes change nothing."""
+    want = sorted(map(tuple, lm_score.score(docs, F.col("doc_id") % 2 == 0).collect()), key=repr)
+    monkeypatch.setattr(lm_score, "SLICE", 64)
+    monkeypatch.setattr(lm_score.B, "BLOCK_BYTES", 20_000)
+    got = sorted(map(tuple, lm_score.score(docs, F.col("doc_id") % 2 == 0).collect()), key=repr)
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a == pytest.approx(b, rel=1e-9) if a[0] is not None else True
+
+
+def test_counts_beyond_32_bits():
+    keys, counts = np.array([3, 9, 1 << 63], np.uint64), np.array([1, (1 << 33) + 5, 2], np.uint64)
+    rows = lm_score.B.entries(0, lm_score._WORD, lm_score.B.range_of(keys, 1), keys, counts) * 2
+    _, _, k, c = lm_score._merged(lm_score.B.table(rows, lm_score.B.ENTRY_FIELDS), lm_score._WORD)
+    assert k.tolist() == keys.tolist() and c.tolist() == [2, (1 << 34) + 10, 4]
+    assert lm_score._VALUE[lm_score._WORD](c[1]) == c[1]
+
+
 def test_log_gamma():
     x = np.concatenate((np.arange(0.5, 50, 0.5), [1e3, 1e6 + 0.5, 1e9]))
     assert np.allclose(lm_score._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-12, atol=1e-11)
@@ -273,6 +292,48 @@ def test_quality_keeps_prose_and_drops_noise(spark, small):
     assert quality_rules.keep_good(clean).columns == clean.columns
 
 
+def plain_measures(f, text):
+    ids = f.encode(text)
+    c = Counter(ids)
+    share = sum(bool(f.partial[i]) for i in ids)
+    h = -sum(x / len(ids) * math.log2(x / len(ids)) for x in c.values())
+    return (len(ids), len(text) / len(ids), share / len(ids), h) if ids else (0, 0, 0, 0)
+
+
+@pytest.fixture(scope="module")
+def vocabularies():
+    content, pattern = quality_rules.load_vocabularies()
+    return [quality_rules.Fertility(name, data, pattern) for name, data in content]
+
+
+def test_fertility_of_each_vocabulary(rows, vocabularies):
+    texts = [r[1] or "" for r in rows] + ["漢字 кириллица 😀 ok", "éü"]
+    for f in vocabularies:
+        out = f(texts)
+        for i, t in enumerate(texts):
+            assert tuple(out[k][i] for k in quality_rules.MEASURES) == pytest.approx(plain_measures(f, t), abs=1e-9)
+    assert any(f(["漢字 кириллица"])["byte_share"][0] > 0 for f in vocabularies)
+
+
+def test_segments_and_runs_change_no_token(rows, vocabularies, monkeypatch):
+    texts = [r[1] or "" for r in rows] + ["a b  c\n d e , f 1 2 \u2581 g \u2581h é f \xa0 i"]
+    whole = [[f.encode(t) for t in texts] for f in vocabularies]
+    monkeypatch.setattr(quality_rules, "SEGMENT", 7)
+    for f, want in zip(vocabularies, whole, strict=True):
+        assert [sum((f.encode(p) for p in quality_rules.segments(t, f.byte_level)), []) for t in texts] == want
+    for f in vocabularies[:2]:
+        for t in ("a" + " " * 30_000 + "b", "a" + " " * 25_000, "\n" * 25_000 + "x" + "\u3000" * 30_000 + "\t9", "\x1c" * 30_000):
+            assert f.encode(t) == f.encoding.encode_ordinary(t)
+
+
+def test_quality_of_very_long_texts(spark):
+    m = 1_000_000
+    texts = [" " * m, "\n" * m + "x", "a" * m, "1" * m, "é" * m, "word " * (m // 5)]
+    out = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")).collect()}
+    assert [out[i].n_words for i in range(6)] == [0, 1, 1, 1, 1, m // 5] and not any(r.kept for r in out.values())
+    assert all(r.n_tokens > 0 for r in out.values())
+
+
 def test_scripts():
     assert [quality_rules.main_script(x) for x in (None, "12 -", "abc", "Привет a", "漢字かな a", "éàü")] == ["none", "none", "latin", "alphabetic", "ideographic", "latin"]
 
@@ -494,6 +555,65 @@ def test_language_edges(docs, rows, none):
     assert language_id.keep_clear(docs, model).columns == docs.columns and language_id.classify(none, model).count() == 0
 
 
+def plain_grams(text):
+    """Byte pairs and hashed triples of a text whose other ASCII characters than letters are blanks."""
+    data = [32 if c < 128 and not chr(c).isalpha() else c for c in low(text).encode()]
+    data = [32, *data, 32]
+    out = []
+    for i in range(len(data) - 1):
+        a, b = data[i], data[i + 1]
+        c = data[i + 2] if i + 2 < len(data) else 32
+        if not (a == b == 32):
+            out += [a << 8 | b, (((a << 16 | b << 8 | c) * 2654435761 & 0xFFFFFFFF) >> 16) + (1 << 16)]
+    return out
+
+
+def plain_model(rows):
+    """Share of each gram by language, a document weighing the same whatever its length."""
+    sums = defaultdict(Counter)
+    for text, lang in rows:
+        if text is not None and lang is not None:
+            grams = plain_grams(text)
+            sums[lang]["all"] += 0
+            for g in grams:
+                sums[lang][g] += 2 / len(grams)
+    return {k: {g: v / max(sum(c.values()), 1e-9) for g, v in c.items()} for k, c in sums.items()}
+
+
+def plain_language(text, share):
+    """(language, score, lead) by one naive Bayes classifier for each split of the languages."""
+    names = sorted(share)
+    splits = [[1 if i == 0 or not (b >> (i - 1)) & 1 else -1 for i in range(len(names))] for b in range(1, 1 << (len(names) - 1))]
+    grams, margins = plain_grams(text), []
+    for split in splits:
+        side = lambda g, s: math.log(np.mean([share[n].get(g, 0) for n, c in zip(names, split) if c == s]) + 1e-6)  # noqa: B023, B905, E731
+        margins.append(language_id.SCALE * sum(side(g, 1) - side(g, -1) for g in grams) / len(grams))
+    loss = [np.mean([math.exp(-max(-8, min(8, m)) * split[i]) for m, split in zip(margins, splits)]) for i in range(len(names))]  # noqa: B905
+    order = sorted(range(len(names)), key=lambda i: loss[i])
+    a, b = loss[order[0]], loss[order[1]]
+    return names[order[0]], math.exp(-a) / sum(math.exp(-x) for x in loss), (b - a) / (a + b)
+
+
+def test_language_against_plain_version(spark):
+    rng = random.Random(6)
+    letters = {"aa": "abcdef", "bb": "cdefgh", "cc": "ghijkl"}
+    rows = [(sentence(rng, rng.randint(2, 20), letters[k]), k) for k in letters for _ in range(8)] + [(None, "aa"), ("xyz", None), ("", "bb"), ("12 34", "cc")]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    model, share = language_id.train(df), plain_model(rows)
+    assert model.languages == sorted(letters)
+    tests = [sentence(rng, rng.randint(1, 12), x) for x in [*letters.values(), "abcdefghijkl"] for _ in range(6)]
+    one, other = sentence(rng, 60, "abcdef").split(), sentence(rng, 60, "ghijkl").split()
+    tests += [" ".join(one[:k] + other[k:]) for k in range(61)]  # from one language to another, word by word
+    out = {r.doc_id: r for r in language_id.classify(spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string"), model).collect()}
+    flags = []
+    for i, t in enumerate(tests):
+        name, score, lead = plain_language(t, share)
+        assert (out[i].lang_pred, out[i].ambiguous) == (name, lead < 0.1) or abs(lead - 0.1) < 1e-4 or lead < 1e-4
+        assert out[i].score == pytest.approx(score, abs=1e-4)
+        flags.append(out[i].ambiguous)
+    assert not any(flags[:6]) and not any(flags[12:18]) and any(flags[24:]) and not flags[24] and not flags[-1]
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 9, 40):
         code = language_id.codewords(n)

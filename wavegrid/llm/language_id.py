@@ -3,13 +3,14 @@
 Each language has a codeword; one binary classifier per bit tells the languages with a 1 from those
 with a 0. The classifiers are naive Bayes over hashed byte 2- and 3-grams of lower-cased text, trained
 on the n-gram counts of all labelled documents: the counts of one language are one row of fixed size,
-summed in parallel, so the model's size depends on the number of languages only. A text's bit margins
+summed in parallel, slice by slice, so the model's size depends on the number of languages only. A text's bit margins
 are the mean log odds per n-gram; loss-weighted decoding takes the codeword with the least exponential
 loss. The prediction is ambiguous when the two nearest codewords are less than ``margin`` apart.
 
 Defined cases: null text or text without a letter: ``und``, score 0; no training rows: ``und`` for all;
-one language only: that one, score 1; null lang is not learned from; an empty table gives an empty
-result; extra columns are ignored.
+one language only: that one, score 1; null lang is not learned from; a null doc_id counts as the empty
+text in ``fold``; repeated rows are judged alike and each is learned from; an empty table gives an empty
+result; extra columns are ignored by ``classify`` and kept by ``keep_clear``.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm._store import ship
+from wavegrid.llm._store import drop, give_back, materialise, share, ship
 from wavegrid.llm._text import chunks
 
 #: Features: all byte pairs, then byte triples by hash.
 PAIRS, TRIPLES = 1 << 16, 1 << 16
 #: Brings the mean log odds per n-gram of clean text to about one or two.
 SCALE = 0.5
-MAX_LANGUAGES = 512
+#: Rows that are judged at once; bounds the Python copies of an Arrow batch.
+ROWS = 2048
+#: A language's counts travel in so many rows of PART features, and meet bucket by bucket of tasks first.
+SLICES, BUCKETS = 16, 1024
+PART = (PAIRS + TRIPLES) // SLICES
 
 _NAMES = np.arange(256, dtype=np.uint8)
 _NAMES[65:91] += 32
@@ -84,8 +89,21 @@ class Model:
     weights: np.ndarray  # features x bits, float32
 
 
+def _add(t: pa.Table) -> pa.Table:
+    """One row with the sums of all rows of a language and slice."""
+    total = np.zeros(PART)
+    for x in t.column("sums").to_pylist():
+        total += np.frombuffer(x)
+    return pa.table({"lang": [t.column("lang")[0].as_py()], "slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary()), "total": [float(total.sum())]})
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Counts n-grams per language over all rows; a document weighs the same whatever its length."""
+    """Counts n-grams per language over all rows; a document weighs the same whatever its length.
+
+    A task's counts of a language travel in SLICES rows, which meet in two steps: those of a bucket of
+    tasks, then the buckets. The weights of a slice's features are made where its counts are, so that
+    the driver gets the model alone.
+    """
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
@@ -102,30 +120,34 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> Model:
                     for j in (0, 1):
                         own += np.bincount(f[mine, j], weights=per[mine], minlength=PAIRS + TRIPLES)
         for name, x in sums.items():
-            yield pa.RecordBatch.from_pydict({"lang": [name], "sums": pa.array([x.astype(np.float32).tobytes()], pa.binary())})
-
-    def add(t):
-        total = np.zeros(PAIRS + TRIPLES)
-        for x in t.column("sums").to_pylist():
-            total += np.frombuffer(x, np.float32)
-        return pa.table({"lang": [t.column("lang")[0].as_py()], "sums": pa.array([total.tobytes()], pa.binary())})
+            parts = [p.tobytes() for p in x.reshape(SLICES, PART)]
+            yield pa.RecordBatch.from_pydict({"lang": [name] * SLICES, "slice": pa.array(range(SLICES), pa.int32()), "sums": pa.array(parts, pa.binary()), "total": x.reshape(SLICES, PART).sum(axis=1)})
+        give_back()
 
+    kind = "lang string, slice int, sums binary, total double"
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counted = rows.mapInArrow(count, "lang string, sums binary").groupBy("lang").applyInArrow(add, "lang string, sums binary")
-    found = sorted(counted.limit(MAX_LANGUAGES + 1).collect(), key=lambda r: r["lang"])  # a row of 1 MB for each language
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    names = [r["lang"] for r in found]
+    counted = rows.mapInArrow(count, kind).withColumn("bucket", F.spark_partition_id() % BUCKETS)
+    sums = counted.groupBy("lang", "slice", "bucket").applyInArrow(_add, kind).groupBy("lang", "slice").applyInArrow(_add, kind)
+    sums = materialise(sums, "language-sums")
+    totals = {r["lang"]: r["total"] for r in sums.groupBy("lang").agg(F.sum("total").alias("total")).collect()}  # a number for each language
+    names = sorted(totals)
     code = codewords(len(names)) if names else np.zeros((0, 0))
-    weights = np.zeros((PAIRS + TRIPLES, code.shape[1]), np.float32)
-    for bit in range(code.shape[1]):
-        sides = []
-        for side in (1, -1):
-            members = [np.frombuffer(r["sums"]) for r, c in zip(found, code[:, bit], strict=True) if c == side]
-            share = sum(m / max(m.sum(), 1e-9) for m in members) / len(members)
-            sides.append(np.log(share + 1e-6))
-        weights[:, bit] = sides[0] - sides[1]
-    return Model(names, code, weights)
+
+    def weigh(t):
+        found = dict(zip(t.column("lang").to_pylist(), t.column("sums").to_pylist(), strict=True))
+        share = {name: np.frombuffer(found[name]) / max(totals[name], 1e-9) for name in names}
+        weights = np.zeros((PART, code.shape[1]), np.float32)
+        for bit in range(code.shape[1]):
+            one, zero = (np.log(np.mean([share[x] for x, c in zip(names, code[:, bit], strict=True) if c == side], axis=0) + 1e-6) for side in (1, -1))
+            weights[:, bit] = one - zero
+        return pa.table({"slice": pa.array([t.column("slice")[0].as_py()], pa.int32()), "weights": pa.array([weights.tobytes()], pa.binary())})
+
+    made = sums.groupBy("slice").applyInArrow(weigh, "slice int, weights binary").collect() if names else []  # the model's size
+    weights = np.zeros((SLICES, PART, code.shape[1]), np.float32)
+    for r in made:
+        weights[r["slice"]] = np.frombuffer(r["weights"], np.float32).reshape(PART, -1)
+    drop(sums)
+    return Model(names, code, weights.reshape(PAIRS + TRIPLES, -1) if names else np.zeros((PAIRS + TRIPLES, 0), np.float32))
 
 
 def decode(margins: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,12 +185,16 @@ def predict(texts: list[str | None], m: Model, margin: float) -> tuple[list[str]
 
 def classify(docs: DataFrame, model: Model, margin: float = 0.1) -> DataFrame:
     """doc_id, lang_pred, score and ambiguous of each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 * 2**16 features x bits, 4 bytes each
+    shared = share(docs.sparkSession, model)  # 2 * 2**16 features x bits, 4 bytes each
 
     def run(batches):
+        m = shared()
         for batch in batches:
-            lang, score, unsure = predict(batch.column(1).to_pylist(), shared.value, margin)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                lang, score, unsure = predict(part.column(1).to_pylist(), m, margin)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+        give_back()
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")
@@ -176,12 +202,16 @@ def classify(docs: DataFrame, model: Model, margin: float = 0.1) -> DataFrame:
 
 def keep_clear(docs: DataFrame, model: Model, margin: float = 0.1) -> DataFrame:
     """The rows of docs whose language is found without ambiguity, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     text = docs.columns.index("text")
 
     def run(batches):
+        m = shared()
         for batch in batches:
-            yield batch.filter(pa.array(~predict(batch.column(text).to_pylist(), shared.value, margin)[2]))
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield part.filter(pa.array(~predict(part.column(text).to_pylist(), m, margin)[2]))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
