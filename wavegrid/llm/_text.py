@@ -47,12 +47,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK_BYTES together; one longer text is a range of its own."""
+def chunks(texts: list[bytes | None], most: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of ``most`` texts at most and about CHUNK_BYTES together; one longer text is a range of its own."""
     start, total = 0, 0
     for i, x in enumerate(texts):
         n = len(x or b"") + 1
-        if i > start and total + n > CHUNK_BYTES:
+        if i > start and (total + n > CHUNK_BYTES or i - start >= most):
             yield start, i
             start, total = i, 0
         total += n
@@ -60,12 +60,18 @@ def chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def spaced(texts: list[bytes | None], lower: bool = True) -> list[bytes]:
+    """The words of each text, one space apart, closed by a newline."""
+    return [b" ".join((x.translate(LOWER) if lower else x).split()) + b"\n" if x else b"\n" for x in texts]
+
+
 class Words:
     """The words of some texts: hash, and the number of their text."""
 
-    def __init__(self, texts: list[bytes | None], lower: bool = True) -> None:
-        self.n = len(texts)
-        rows = [b" ".join((x.translate(LOWER) if lower else x).split()) + b"\n" if x else b"\n" for x in texts]
+    def __init__(self, texts: list[bytes | None], lower: bool = True, rows: list[bytes] | None = None) -> None:
+        """rows: the texts as ``spaced`` gives them, if at hand."""
+        rows = spaced(texts, lower) if rows is None else rows
+        self.n = len(rows)
         buf = np.frombuffer(b"".join(rows), dtype=np.uint8)
         ends = np.flatnonzero((buf == 32) | (buf == 10))
         starts = np.concatenate((np.zeros(1, dtype=ends.dtype), ends[:-1] + 1)) if len(ends) else ends

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from wavegrid.llm import _blocks as B
 from wavegrid.llm._store import materialise, share, ship
-from wavegrid.llm._text import LOWER, Words, chunks, mix64
+from wavegrid.llm._text import Words, chunks, mix64, spaced
 
 #: Bytes of context. A gram, DEPTH bytes and the next, is packed newest context byte first, next byte last.
 DEPTH = 6
@@ -44,20 +44,21 @@ SLICE = 1 << 18
 _GRAM, _WORD, _NODE = 0, 1, 2
 
 
-def stream(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram that ends at each byte, number of bytes) of texts; contexts before a text's start are zero bytes."""
-    rows = [b" ".join(x.translate(LOWER).split()) + b"\n" if x else b"\n" for x in texts]
+#: Texts that are scored together: a gram of DEPTH + 1 bytes and a text's number fill 64 bits, which sort without an index.
+TOGETHER = 1 << (8 * (7 - DEPTH))
+
+
+def stream(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(gram that ends at each byte, number of bytes) of spaced texts; contexts before a text's start are zero bytes."""
     pad = bytes(DEPTH)
-    buf = np.frombuffer(pad + pad.join(rows), np.uint8).astype(np.uint64)
+    data = bytes(8 - DEPTH - 1) + pad + pad.join(rows)
     n = np.array([len(r) for r in rows])
-    keep = np.ones(len(buf), bool)
+    keep = np.ones(len(data) - 7, bool)
     first = np.cumsum(n + DEPTH) - n - DEPTH
-    keep[(first[:, None] + np.arange(DEPTH)).ravel()] = False
-    at = np.flatnonzero(keep)
-    gram = np.zeros(len(at), np.uint64)
-    for back in range(1, DEPTH + 1):
-        gram = (gram << np.uint64(8)) | buf[at - back]
-    return (gram << np.uint64(8)) | buf[at], n
+    for back in range(DEPTH):
+        keep[first[1:] - 1 - back] = False
+    eight = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))[keep]  # the eight bytes up to each, the newest in front
+    return (eight << np.uint64(8)) >> np.uint64(64 - 8 * DEPTH) << np.uint64(8) | eight >> np.uint64(56), n
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -212,8 +213,9 @@ def _sender(ranges: int):
         texts, learn = B.texts_of(t), np.array(t.column("learn").to_pylist(), bool)
         found = {_GRAM: B.Tally(), _WORD: B.Tally()}
         for a, b in chunks(texts):
-            gram, n = stream(texts[a:b])
-            w = Words(texts[a:b])
+            rows = spaced(texts[a:b])
+            gram, n = stream(rows)
+            w = Words([], rows=rows)
             for kind, x, taught in ((_GRAM, gram, np.repeat(learn[a:b], n)), (_WORD, w.hash, learn[a:b][w.text])):
                 for part in (taught, ~taught):
                     u, c = B.counted(x[part])
@@ -285,18 +287,18 @@ _SCORES = "doc_id long, n_tokens long, n_known long, n_bytes long, base_score do
 def _finisher(total: int, vocabulary: int, texts_learned: int, ranges: int):
     def finish(docs, answers):
         kinds, owners, data = (answers.column(c).to_pylist() for c in ("kind", "range", "values"))
-        texts = B.texts_of(docs)
+        texts = spaced(B.texts_of(docs))
         n = len(texts)
-        found, words = {_GRAM: B.Tally(), _WORD: B.Tally()}, []
-        for a, b in chunks(texts):  # words are few and kept numbered; grams, one a byte, are taken again below
-            w = Words(texts[a:b])
+        found, words = {_GRAM: [], _WORD: []}, []
+        for a, b in chunks(texts, TOGETHER):  # words are few and kept numbered; grams, one a byte, are taken again below
+            w = Words([], rows=texts[a:b])
             u, at = np.unique(w.hash, return_inverse=True)
             words.append((at.astype(np.int32), u, w.text.astype(np.int32)))
-            for kind, keys in ((_WORD, u), (_GRAM, B.counted(stream(texts[a:b])[0])[0])):
-                found[kind].add(keys, np.zeros(len(keys), np.int64))
+            found[_WORD].append(u)
+            found[_GRAM].append(B.counted(stream(texts[a:b])[0])[0])
         tables = {}
-        for kind, tally in found.items():
-            k, _ = tally.total()
+        for kind, parts in found.items():
+            k, _ = B.counted(np.concatenate(parts))
             # a range's values stand in the order of the block's keys in it
             mine = sorted((owners[i], i) for i, x in enumerate(kinds) if x == kind)
             v = np.concatenate([B.unpack(data[i], _VALUE[kind]) for _, i in mine]) if mine else np.empty(0, _VALUE[kind])
@@ -307,20 +309,19 @@ def _finisher(total: int, vocabulary: int, texts_learned: int, ranges: int):
             tables[kind] = k, value
         log_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
         out = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known", "n_bytes")} | {k: np.zeros(n) for k in ("base_score", "score")}
-        for (a, b), (at, u, owner) in zip(chunks(texts), words, strict=True):
+        for (a, b), (at, u, owner) in zip(chunks(texts, TOGETHER), words, strict=True):
             k, v = tables[_WORD]
             c = v[B.find(k, u)[0]].astype(np.float64) if len(u) else np.empty(0)
             out["n_tokens"][a:b] = np.bincount(owner, minlength=b - a) + 1
             out["n_known"][a:b] = np.bincount(owner, weights=(c > 0)[at], minlength=b - a) + (texts_learned > 0)
             out["base_score"][a:b] = np.bincount(owner, weights=log_of(c)[at], minlength=b - a) + log_of(np.float64(texts_learned))
             gram, size = stream(texts[a:b])
-            order = np.argsort(gram)
-            gram = gram[order]
+            both = np.sort(gram << np.uint64(64 - 8 * (DEPTH + 1)) | np.repeat(np.arange(b - a, dtype=np.uint64), size))
+            gram, owner = both >> np.uint64(64 - 8 * (DEPTH + 1)), (both & np.uint64(TOGETHER - 1)).astype(np.int64)
             start = np.concatenate(([0], np.flatnonzero(gram[1:] != gram[:-1]) + 1))
             k, v = tables[_GRAM]
-            code = np.empty(len(gram), np.int64)
-            code[order] = np.repeat(v[B.find(k, gram[start])[0]], np.diff(start, append=len(gram)))
-            out["n_bytes"][a:b], out["score"][a:b] = size, np.add.reduceat(code, np.cumsum(size) - size) / -_FINE
+            code = np.repeat(v[B.find(k, gram[start])[0]], np.diff(start, append=len(gram)))
+            out["n_bytes"][a:b], out["score"][a:b] = size, np.bincount(owner, weights=code, minlength=b - a) / -_FINE
         return pa.table({"doc_id": pa.array(docs.column("doc_id").to_pylist(), pa.int64()), **{k: pa.array(x) for k, x in out.items()}})
 
     return finish
