@@ -256,9 +256,13 @@ def _stars(lists: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _sizes(documents: DataFrame, width: int, threshold: int) -> tuple[int, dict[int, int]]:
-    """(bytes of all texts, number of texts of each size that could be light); a text's size is that of its set but for repeated shingles."""
+    """(bytes of all texts, number of texts of each size that could be light).
+
+    An estimate that only the boundary rests on: a text's size is that of its set but for repeated
+    shingles, and a text of over a kilobyte counts as the largest without a look at its words.
+    """
     most = largest_light(threshold) + width
-    words = F.size(F.filter(F.split("text", GAP, most + 2), lambda w: w != ""))  # stops splitting there
+    words = F.when(F.octet_length("text") < 1024, F.size(F.filter(F.split("text", GAP), lambda w: w != ""))).otherwise(most)
     size = F.when(words > 0, F.greatest(F.lit(1), F.least(words, F.lit(most)) - (width - 1))).otherwise(0)
     rows = documents.where("text is not null").groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()  # most rows
     return sum(r["bytes"] for r in rows), {r["size"]: r["n"] for r in rows}
