@@ -279,10 +279,10 @@ def find_notes(x: np.ndarray, sr: int, hi: float = 8000.0) -> list[Found]:
             stop = float(min(s.at[cols[own]].max() + half / 2, b))
             if stop - snapped >= 0.06:
                 notes.append(Found(max(0.0, float(snapped)), stop, float(mid), float(q3 - q1) * 50, float(weight[own].max())))
-    return _shaped(_distinct(_sources(notes, s)), s)
+    return _shaped(_distinct(_sources(notes, s), onsets), s)
 
 
-def _distinct(notes: list[Found]) -> list[Found]:
+def _distinct(notes: list[Found], onsets: np.ndarray) -> list[Found]:
     """Notes that are neither faint, nor a louder one's overtone, nor its double; every pair is compared once."""
     if not notes:
         return []
@@ -294,7 +294,8 @@ def _distinct(notes: list[Found]) -> list[Found]:
     reach = np.minimum(45, 420 * np.log2(1 + 1 / np.maximum(times, 1)))  # cents, well under the distance of neighbouring overtones
     overtone = (times >= 2) & (times <= 24) & (np.abs(1200 * np.log2(ratio / np.maximum(times, 1))) < reach) & with_start
     struck = np.abs(t0[:, None] - t0) < 0.08
-    overtone &= peak[:, None] < np.where(times == 2, 0.7, 1.0) * peak
+    onset = (np.abs(t0[:, None] - onsets).min(axis=1, initial=math.inf) < 0.04)[:, None] & ~struck  # a strike of its own
+    overtone &= peak[:, None] < np.where(onset, 0.25, np.where(times == 2, 0.7, 1.0)) * peak
     double = together & (np.abs(midi[:, None] - midi) < 1.5) & (struck | (peak[:, None] < 0.3 * peak))
     louder = (peak[:, None] < peak) | ((peak[:, None] == peak) & (np.arange(len(notes))[:, None] > np.arange(len(notes))))
     faint = (peak < 0.04 * peak.max()) | (peak < 0.12 * np.where(together, peak, 0).max(axis=1))
