@@ -9,6 +9,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavegrid.operators.ordering import numbered
+
 
 def variants(spark: SparkSession, axes: Mapping[str, Sequence], allowed: Column | None = None) -> DataFrame:
     """Every combination of the axes, sorted by name, numbered before impossible ones are dropped; values as strings. id, one column an axis, label."""
@@ -24,8 +26,8 @@ def variants(spark: SparkSession, axes: Mapping[str, Sequence], allowed: Column
 
 
 def shard(df: DataFrame, order: str, index: int, of: int) -> DataFrame:
-    """Every of-th row from the index-th (from 1) in the order of a unique column."""
-    return df.withColumn("_n", F.row_number().over(Window.orderBy(order)) - 1).where(F.col("_n") % of == index - 1).drop("_n")
+    """Every of-th row from the index-th (from 1) in the order of a unique, numeric column."""
+    return numbered(df, order).where(F.col("place") % of == index - 1).drop("place")
 
 
 def pending(sources: DataFrame, artifacts: DataFrame, stem: str = "stem") -> DataFrame:

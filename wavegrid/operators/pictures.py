@@ -93,3 +93,71 @@ def rulers(lo: float, hi: float, seconds: float, rows: int, cols: int) -> list[t
     power = 10 ** math.floor(math.log10(raw))
     step = next(m * power for m in (1, 2, 5, 10) if m * power >= raw)
     return out + [("time", f"{k * step:g}", round((cols - 1) * k * step / seconds)) for k in range(int(seconds / step + 1e-9) + 1)]
+
+
+# --- annotated pictures ------------------------------------------------------------------------------
+
+#: A 3 x 5 face for rulers, a row of three bits to a digit.
+FACE = {
+    "0": "75557", "1": "26227", "2": "71747", "3": "71717", "4": "55711", "5": "74717", "6": "74757", "7": "71122", "8": "75757", "9": "75717",
+    ".": "00002", "-": "00700", ":": "02020", "A": "25755", "B": "65656", "C": "74447", "D": "65556", "E": "74647", "F": "74644", "G": "74557",
+    "#": "57575", "s": "03626", "k": "45655", " ": "00000",
+}
+MARGIN = 26
+
+
+def write_text(canvas: np.ndarray, text: str, y: int, x: int, level: int = 255) -> None:
+    """Draws into a grey canvas; what falls outside is cut, unknown letters are blanks."""
+    for k, letter in enumerate(text):
+        bits = np.array([[int(row) >> (2 - c) & 1 for c in range(3)] for row in FACE.get(letter, FACE[" "])], bool)
+        ys, xs = np.nonzero(bits)
+        ys, xs = ys + y, xs + x + 4 * k
+        inside = (ys >= 0) & (ys < canvas.shape[0]) & (xs >= 0) & (xs < canvas.shape[1])
+        canvas[ys[inside], xs[inside]] = level
+
+
+def annotated(grey: np.ndarray, ticks: list[tuple[str, str, int]], marks: list[int] | None = None) -> np.ndarray:
+    """RGB of a grey picture between rulers: frequencies on the left, notes on the right, times below; columns in ``marks`` get a red line."""
+    rows, cols = grey.shape
+    canvas = np.zeros((rows + 10, cols + 2 * MARGIN), np.uint8)
+    canvas[:rows, MARGIN : MARGIN + cols] = grey
+    for axis, label, at in ticks:
+        if axis == "time":
+            canvas[rows : rows + 3, MARGIN + at] = 255
+            write_text(canvas, label, rows + 4, MARGIN + at - 2 * len(label))
+        else:
+            x = MARGIN - 3 if axis == "hz" else MARGIN + cols
+            canvas[at, x : x + 3] = 255
+            write_text(canvas, label, at - 2, x - 1 - 4 * len(label) if axis == "hz" else x + 4)
+    out = np.repeat(canvas[..., None], 3, axis=2)
+    for at in marks or []:
+        out[:rows, MARGIN + at] = (255, 40, 40)
+    return out
+
+
+def annotate(grids: DataFrame, lo: float, hi: float) -> DataFrame:
+    """stem, png of pictures of sound (stem, rows, cols, v in [0, 1] with the lowest pitch first, seconds) with their rulers."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                grey = (np.asarray(r.v, float).reshape(r.rows, r.cols)[::-1] * 255).astype(np.uint8)
+                out.append((r.stem, png.encode(annotated(grey, rulers(lo, hi, r.seconds, r.rows, r.cols)))))
+            yield pd.DataFrame(out, columns=["stem", "png"])
+
+    return grids.select("stem", "rows", "cols", "v", "seconds").mapInPandas(run, "stem string, png binary")
+
+
+def motion_picture(strip: np.ndarray, times: np.ndarray, skips: np.ndarray) -> bytes:
+    """PNG of a motion profile (rows x steps, the top row last) with a time ruler and a red line at each skip."""
+    grey = (strip[::-1] * 255).astype(np.uint8)
+    at = lambda t: int(round((t - times[0]) / max(times[-1] - times[0], 1e-9) * (grey.shape[1] - 1)))
+    ticks = [t for t in rulers(80, 8000, max(float(times[-1] - times[0]), 1e-3), *grey.shape) if t[0] == "time"]
+    return png.encode(annotated(grey, ticks, [at(t) for t in skips]))
+
+
+def recurrence_picture(names: np.ndarray, level: np.ndarray, invert: bool = False) -> bytes:
+    """PNG of a matrix of levels in [0, 1], as recurrence_levels or a threshold gives them."""
+    v = 1 - level if invert else level
+    return png.encode((np.clip(v, 0, 1) * 255).astype(np.uint8), {"size": f"{len(names)}x{len(names)}"})

@@ -89,6 +89,21 @@ def comb(rates: DataFrame, rate: str, bases: list[float], tolerance: float, leas
     return counted.agg(best.alias("b")).where("b is not null").select("b.*")
 
 
+def multiples_of(rates: DataFrame, rate: str, base: DataFrame, tolerance: float, most: int = 3) -> DataFrame:
+    """rate, m: the least m up to ``most`` for which rate * m is a multiple of a comb's base (one row, column base), within the tolerance."""
+    tried = rates.crossJoin(F.broadcast(base.select("base"))).withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(most))))  # one row
+    k = F.bround(F.col(rate) * F.col("m") / F.col("base"))
+    hits = tried.where((k >= 1) & (F.abs(F.col(rate) * F.col("m") - k * F.col("base")) <= tolerance))
+    return hits.groupBy(rate).agg(F.min("m").alias("m"))
+
+
+def strong_lines(power: DataFrame, key: str, first_bin: int, times: float = 20.0) -> DataFrame:
+    """Bins from first_bin on with over ``times`` the median power of those bins of their series."""
+    use = power.where(F.col("bin") >= first_bin)
+    middle = use.groupBy(key).agg(F.percentile("power", 0.5).alias("__m"))  # a spectrum's bins
+    return use.join(middle, key).where(F.col("power") > times * F.col("__m")).drop("__m")
+
+
 def phase_concentration(df: DataFrame, key: str, t: str, rate: float) -> DataFrame:
     """Length and angle of the mean of exp(2 pi i t rate) over each series."""
     a = 2 * math.pi * rate * F.col(t)

@@ -30,4 +30,4 @@ def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from wavegrid.plans import event_queries, kernel_queries, literal_queries, table_queries  # noqa: E402, F401  they register themselves
+from wavegrid.plans import event_queries, kernel_queries, literal_queries, run_queries, table_queries  # noqa: E402, F401  they register themselves

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wavegrid.functions import music
@@ -111,7 +112,7 @@ def verify_metrics(spark, d):
 select 1 as track, midi, tick, kind, velocity, row_number() over (order by tick, kind, midi, velocity) as place from e""",
 )
 def midi_events(spark, d):
-    e = notes.midi_events(transcribed(spark, d).withColumn("track", F.lit(1)), ["track"])
+    e = notes.midi_events(transcribed(spark, d), []).withColumn("track", F.lit(1))
     return e.withColumn("place", F.col("place").cast("long"))
 
 
@@ -398,12 +399,18 @@ def camera_comb(spark, d):
 
 @query(
     "comb_multiples",
-    BEST + """, c as (select distinct bin from best), m as (select bin, min(m) as m from c, range(1, 4) t(m) where (bin * m) % 24 = 0 group by 1)
-select bin, m from m""",
+    BEST + f""", r as (select distinct bin / 60.0 as rate from best),
+t as (select base, rate from r, unnest({BASES}::double[]) b(base)),
+h as (select base, count(*) as multiples from t where round_even(rate / base, 0) >= 1 and abs(rate - round_even(rate / base, 0) * base) <= 0.004 group by 1 having count(*) >= 4),
+b as (select base from h order by multiples desc, base limit 1)
+select round(rate, 6) as rate, min(m)::int as m from r, b, range(1, 4) t(m)
+where round_even(rate * m / base, 0) >= 1 and abs(rate * m - round_even(rate * m / base, 0) * base) <= 0.004 group by 1""",
 )
 def comb_multiples(spark, d):
-    b = best(spark, d).select("bin").distinct().withColumn("m", F.explode(F.array(*[F.lit(k).cast("long") for k in (1, 2, 3)])))
-    return b.where(F.col("bin") * F.col("m") % 24 == 0).groupBy("bin").agg(F.min("m").alias("m"))
+    """Which rates are multiples, halves or thirds of multiples, of the base that the rates themselves give."""
+    rates = best(spark, d).select("bin").distinct().select((F.col("bin") / 60.0).alias("rate"))
+    found = spectrum.multiples_of(rates, "rate", spectrum.comb(rates, "rate", BASES, 0.004), 0.004)
+    return found.select(F.round("rate", 6).alias("rate"), "m")
 
 
 @query(
@@ -499,17 +506,15 @@ def printed_flips(spark, d):
 
 @query(
     "jitter_lines",
-    EV + f""", g as (select user_id, t - lag(t) over w as gap, row_number() over w as n from ev window w as (partition by user_id order by t, event_id)),
-j as (select user_id, n % {LENGTH} as h, gap - avg(gap) over (partition by user_id) as x from g where gap is not null),
-f as (select user_id, bin::int as bin, sum(x * cos(2 * pi() * ((bin * h) % {LENGTH}) / {LENGTH})) as re, sum(x * sin(2 * pi() * ((bin * h) % {LENGTH}) / {LENGTH})) as im from j, range(1, {BINS + 1}) b(bin) group by 1, 2),
-p as (select user_id, bin, re * re + im * im as power from f), m as (select user_id, median(power) as m from p group by 1)
-select user_id, bin, round(power / 1e6, 1) as power from p join m using (user_id) where power > 4 * m""",
+    EV + f""", g as (select event_type, t - lag(t) over w + case when row_number() over w % 24 = 0 then 200000 else 0 end as gap, row_number() over w as n from ev window w as (partition by event_type order by t, event_id)),
+j as (select event_type, n % {LENGTH} as h, gap - avg(gap) over (partition by event_type) as x from g where gap is not null),
+f as (select event_type, bin::int as bin, sum(x * cos(2 * pi() * ((bin * h) % {LENGTH}) / {LENGTH})) as re, sum(x * sin(2 * pi() * ((bin * h) % {LENGTH}) / {LENGTH})) as im from j, range(1, {BINS + 1}) b(bin) group by 1, 2),
+p as (select event_type, bin, re * re + im * im as power from f), m as (select event_type, median(power) as m from p group by 1)
+select event_type, bin, round(power / 1e6, 1) as power from p join m using (event_type) where power > 20 * m""",
 )
 def jitter_lines(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    g = events(spark, d).withColumns({"gap": F.col("t") - F.lag("t").over(w), "h": F.row_number().over(w) % LENGTH}).where("gap is not null")
-    p = spectrum.dft_power(g, "user_id", "h", "gap", BINS, LENGTH)
-    p = p.withColumn("m", F.percentile("power", 0.5).over(Window.partitionBy("user_id")))
-    return p.where("power > 4 * m").select("user_id", "bin", F.round(F.col("power") / 1e6, 1).alias("power"))
+    w = Window.partitionBy("event_type").orderBy("t", "event_id")
+    n = F.row_number().over(w)  # every 24th gap is long, a beat for the lines to show
+    g = events(spark, d).withColumns({"gap": F.col("t") - F.lag("t").over(w) + F.when(n % 24 == 0, 200000).otherwise(0), "h": n % LENGTH}).where("gap is not null")
+    p = spectrum.dft_power(g, "event_type", "h", "gap", BINS, LENGTH)
+    return spectrum.strong_lines(p, "event_type", 1).select("event_type", "bin", F.round(F.col("power") / 1e6, 1).alias("power"))

@@ -189,24 +189,29 @@ def sweep_grid(spark, d):
 RECIPE = {"audio": tables.AUDIO_DEFAULTS, "encode": {"gamma": 1.7, "auto_prep": True}, "decode": {"palette": "magma"}, "notate": {"base": 60, "scale": "harmonic"}, "notes_decode": {"color": False}}
 
 
-@query("stage_keys", f"select * from {values(sorted(jobs.stage_keys(RECIPE).items()))} v(stage, key)")
+def _json(x) -> str:
+    """JSON text with sorted keys, as a SQL literal, written without the operator's help."""
+    if isinstance(x, dict):
+        inner = ", ".join(f'"{k}": {_json(v)[1:-1]}' for k, v in sorted(x.items()))
+        return "'{" + inner + "}'"
+    return "'" + ("true" if x is True else "false" if x is False else f'"{x}"' if isinstance(x, str) else str(x)) + "'"
+
+
+_SHAPE = _json({k: RECIPE["audio"][k] for k in ("rows", "cols", "f_lo", "f_hi")})
+#: The chain of keys in SQL: each stage hashes the key before it with its own settings.
+KEYS = f"""with encode as (select substr(sha256('[' || {_json(RECIPE["encode"])} || ', ' || {_json({k: RECIPE["audio"][k] for k in ("sr", "tile")})} || ']'), 1, 12) as k),
+notate as (select substr(sha256('["' || k || '", ' || {_json(RECIPE["notate"])} || ']'), 1, 12) as k from encode),
+keys as (select 'encode' as stage, k as key from encode union all select 'notate', k from notate
+  union all select 'decode', substr(sha256('["' || k || '", ' || {_SHAPE} || ', ' || {_json(RECIPE["decode"])} || ']'), 1, 12) from encode
+  union all select 'notes_decode', substr(sha256('["' || k || '", ' || {_SHAPE} || ', ' || {_json(RECIPE["notes_decode"])} || ', "magma"]'), 1, 12) from notate)"""
+
+
+@query("stage_keys", KEYS + " select stage, key from keys")
 def stage_keys(spark, d):
-    """Keys chained by SHA-256 in SQL; equal to those that the driver computes."""
-    import json
-
-    j = lambda x: json.dumps(x, sort_keys=True, default=str)
-    a = RECIPE["audio"]
-    shape = j({k: a[k] for k in ("rows", "cols", "f_lo", "f_hi")})
-    h = lambda *p: F.substring(F.sha2(F.concat(F.lit("["), F.concat_ws(", ", *p), F.lit("]")), 256), 1, 12)
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    encode = h(F.lit(j(RECIPE["encode"])), F.lit(j({k: a[k] for k in ("sr", "tile")})))
-    notate = h(quoted(encode), F.lit(j(RECIPE["notate"])))
-    keys = {"encode": encode, "notate": notate, "decode": h(quoted(encode), F.lit(shape), F.lit(j(RECIPE["decode"]))), "notes_decode": h(quoted(notate), F.lit(shape), F.lit(j(RECIPE["notes_decode"])), F.lit(j("magma")))}
-    rows = F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), v.alias("key")) for k, v in sorted(keys.items())]))
-    return spark.range(1).select(rows.alias("r")).select("r.*")
-
-
-@query("stale_stages", f"select stage, stored, wanted from {values([(s, 'old' if s == 'decode' else k, k) for s, k in sorted(jobs.stage_keys(RECIPE).items())])} v(stage, stored, wanted) where stored <> wanted")
+    return spark.createDataFrame(sorted(jobs.stage_keys(RECIPE).items()), "stage string, key string")
+
+
+@query("stale_stages", KEYS + " select stage, 'old' as stored, key as wanted from keys where stage = 'decode'")
 def stale_stages(spark, d):
     keys = jobs.stage_keys(RECIPE)
     state = spark.createDataFrame([(s, "old" if s == "decode" else k) for s, k in keys.items()], "stage string, key string")

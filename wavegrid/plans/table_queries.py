@@ -68,32 +68,29 @@ def octave_pixels(spark, d):
     return c.select("vec_id", "col", *[F.round(F.col("x") * v, 6).alias(n) for n, v in zip("rgb", music.octave_rgb(F.col("hz")), strict=True)])
 
 
-UNITS = "with u as (select vec_id as i, [x::double / greatest(sqrt(list_sum([y::double * y::double for y in embedding])), 1e-9) for x in embedding] as unit from embeddings)"
+UNITS = """with nth as (select vec_id, embedding, row_number() over (order by vec_id) - 1 as place, count(*) over () as n from embeddings),
+c as (select case when n <= 1000 then place else place * 1000 // n end as pool, vec_id, unnest(range(0, len(embedding))) as k, unnest(embedding)::double as x from nth),
+m as (select pool, k, min(vec_id) as i, avg(x) as x from c group by 1, 2),
+v as (select min(i) as i, list(x order by k) as v from m group by pool),
+u as (select i, [x / greatest(sqrt(list_sum([y * y for y in v])), 1e-9) for x in v] as unit from v)"""
 PAIRS = UNITS + ", pairs as (select a.i, b.i as j, sqrt(greatest(2 - 2 * list_dot_product(a.unit, b.unit), 0)) as d from u a join u b on a.i < b.i)"
 
 
-def pairs(spark, d):
-    return recurrence.pair_distances(table(spark, d, "embeddings"), "vec_id", largest=20_000)
-
-
 @query("recurrence_pairs", PAIRS + " select i, j, round(d, 5) as d from pairs where d < 1.05")
 def recurrence_pairs(spark, d):
-    return pairs(spark, d).where("d < 1.05").select("i", "j", F.round("d", 5).alias("d"))
+    return recurrence.pair_distances(table(spark, d, "embeddings"), "vec_id", largest=1.05).select("i", "j", F.round("d", 5).alias("d"))
 
 
 @query("recurrence_binary", PAIRS + " select i, j from pairs where round(d, 6) <= (select round(quantile_cont(d, 0.02), 6) from pairs)")
 def recurrence_binary(spark, d):
-    p = pairs(spark, d)
-    bar = p.agg(F.round(F.percentile("d", 0.02), 6).alias("bar"))
-    return p.crossJoin(F.broadcast(bar)).where(F.round("d", 6) <= F.col("bar")).select("i", "j")
+    return recurrence.pair_distances(table(spark, d, "embeddings"), "vec_id", share=0.02).select("i", "j")
 
 
 @query("recurrence_image", PAIRS + ", q as (select quantile_cont(d, 0.02) as lo, quantile_cont(d, 0.98) as hi from pairs) select i, count(*) as cells, round(avg(1 - least(greatest((d - lo) / (hi - lo), 0), 1)), 5) as level from pairs, q group by 1")
 def recurrence_image(spark, d):
-    p = pairs(spark, d)
-    q = p.agg(F.percentile("d", [0.02, 0.98]).alias("q"))
-    level = 1 - numbers.clip01((F.col("d") - F.col("q")[0]) / (F.col("q")[1] - F.col("q")[0]))
-    return p.crossJoin(F.broadcast(q)).groupBy("i").agg(F.count(F.lit(1)).alias("cells"), F.round(F.avg(level), 5).alias("level"))
+    names, level = recurrence.recurrence_levels(table(spark, d, "embeddings"), "vec_id")
+    rows = [(int(n), len(names) - 1 - k, round(float(level[k, k + 1 :].mean()), 5)) for k, n in enumerate(names[:-1])]  # a row of a bounded picture
+    return spark.createDataFrame(rows, "i long, cells long, level double")
 
 
 @query(
@@ -155,15 +152,15 @@ def band_means(spark, d):
 @query(
     "filled_bands",
     """with b as (select floor(ln(l_extendedprice / 900.0) / (ln(120.0) / 400))::bigint as band, round(sum(l_extendedprice) * 100)::bigint as cents, count(*) as n from lineitem where l_extendedprice >= 900 group by 1),
-a as (select unnest(range(0, 401)) as band), j as (select a.band, cents, n from a left join b using (band))
+a as (select unnest(range(0, (select greatest(max(band), 400) + 1 from b))) as band), j as (select a.band, cents, n from a left join b using (band))
 select band, last_value(cents ignore nulls) over (order by band) as cents, last_value(n ignore nulls) over (order by band) as n from j""",
 )
 def filled_bands(spark, d):
     """An empty band copies the band below."""
     band = F.floor(F.log(F.col("l_extendedprice") / 900.0) / (F.log(F.lit(120.0)) / 400))
     sums = table(spark, d, "lineitem").where("l_extendedprice >= 900").groupBy(band.alias("band")).agg(F.round(F.sum("l_extendedprice") * 100).cast("long").alias("cents"), F.count(F.lit(1)).alias("n"))
-    every = spark.range(401).select(F.col("id").alias("band"))
-    w = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, 0)  # 401 bands
+    every = sums.agg(F.greatest(F.max("band"), F.lit(400)).alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(400).cast("long")))).alias("band"))
+    w = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, 0)  # bands are logarithms of prices, some hundreds
     return every.join(sums, "band", "left").select("band", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in ("cents", "n")])
 
 
@@ -254,9 +251,7 @@ def noise_guard(spark, d):
 
 @query("shard_slice", "select doc_id from (select doc_id, row_number() over (order by doc_id) - 1 as n from documents) where n % 4 = 2")
 def shard_slice(spark, d):
-    from wavegrid.operators.ordering import numbered
-
-    return numbered(table(spark, d, "documents").select("doc_id"), "doc_id").where("place % 4 = 2").select("doc_id")
+    return jobs.shard(table(spark, d, "documents").select("doc_id"), "doc_id", 3, 4)
 
 
 @query("resume_pending", "select p_partkey from part where not exists (select 1 from lineitem where l_partkey = p_partkey and l_quantity = 50)")

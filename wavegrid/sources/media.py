@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Extensions of pictures and recordings.
 EXTENSIONS = {
-    "frame": ["png", "jpg", "jpeg", "bmp", "gif", "tif", "tiff", "webp"],
+    "frame": ["png", "jpg", "jpeg", "bmp", "tif", "tiff", "webp"],
     "audio": ["wav", "mp3", "flac", "ogg", "m4a", "aac", "opus", "wma", "aif", "aiff"],
 }
 
