@@ -86,18 +86,25 @@ def test_url_rules_and_list(spark):
         assert out[i].verdict == (best.verdict if best else "block" if i in (8, 9) else "allow"), url
 
 
-def test_url_list_keeps_no_false_positive(spark):
+@pytest.mark.parametrize("broadcast", [0, 1])
+def test_url_list_keeps_no_false_positive(spark, monkeypatch, broadcast):
     """A filter of one block passes nearly all; the exact join must still decide."""
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h/"), "id").alias("url"))
     listed = pages.where("page_id < 900").select(url_filter.canonical(F.col("url")).alias("canonical_url"))
-    before, url_filter.MAX_BLOCKS = url_filter.MAX_BLOCKS, 1
-    try:
-        out = url_filter.filter_urls(pages, listed, []).where("listed").agg(F.count("*"), F.max("page_id")).first()
-    finally:
-        url_filter.MAX_BLOCKS = before
+    monkeypatch.setattr(url_filter, "BITS_PER_URL", 0)
+    monkeypatch.setattr(url_filter, "BROADCAST_BLOCKS", broadcast)
+    out = url_filter.filter_urls(pages, listed, []).where("listed").agg(F.count("*"), F.max("page_id")).first()
     assert tuple(out) == (900, 899)
 
 
+def test_many_rules_as_a_table(spark, monkeypatch):
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
+    rules = [*queries.RULES, url_filter.Rule("block", "/fr/2")]
+    want = sorted(map(tuple, url_filter.filter_urls(pages, url_filter.urls_on_hosts(pages, ["a"]), rules).collect()), key=repr)
+    monkeypatch.setattr(url_filter, "CASE_RULES", 0)
+    assert sorted(map(tuple, url_filter.filter_urls(pages, url_filter.urls_on_hosts(pages, ["a"]), rules).select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed").collect()), key=repr) == want
+
+
 def test_url_empty(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.filter_urls(empty, url_filter.urls_on_hosts(empty, ["a"]), queries.RULES).count() == 0

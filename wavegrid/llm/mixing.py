@@ -9,7 +9,8 @@ is known and splits a hot source otherwise.
 
 Defined cases: null text has size 0; null source is a source of its own, last in order; a source of
 size 0 has target 0 and rate 0; equal doc_ids draw equal copies; an empty table gives an empty result;
-extra columns are kept by ``mix`` and ignored by ``plan``.
+a null doc_id draws as the empty text; extra columns, whatever their names, are kept by ``mix`` and
+ignored by ``plan``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm.words import count_words
+from wavegrid.llm.words import count_words, spare
 
 _KEY = "__source_key"
 
@@ -67,11 +68,12 @@ def plan(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, highest: float = 2.0, seed: int = 6) -> DataFrame:
     """The mixture itself: each document as often as its copies, with its own columns."""
-    sized = docs.select(_key(F.col("source")).alias(_KEY), count_words(F.col("text")).alias("__size"))
-    rates = targets(sized.groupBy(_KEY).agg(F.sum("__size").alias("source_size")), weights, share, highest).select(_KEY, F.col("rate").alias("__rate"))
-    rows = docs.withColumn(_KEY, _key(F.col("source"))).join(rates, _KEY)
-    again = F.explode(F.array_repeat(F.lit(0), _copies(F.col("doc_id"), F.col("__rate"), seed))).alias("__copy")
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], again).drop("__copy")
+    key, rate, copy = spare(docs.columns, "key", "rate", "copy")
+    sized = docs.select(_key(F.col("source")).alias(_KEY), count_words(F.col("text")).alias("size"))
+    rates = targets(sized.groupBy(_KEY).agg(F.sum("size").alias("source_size")), weights, share, highest).select(F.col(_KEY).alias(key), F.col("rate").alias(rate))
+    rows = docs.withColumn(key, _key(F.col("source"))).join(rates, key)
+    again = F.explode(F.array_repeat(F.lit(0), _copies(F.col("doc_id"), F.col(rate), seed))).alias(copy)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], again).drop(copy)
 
 
 def _copies(doc_id: Column, rate: Column, seed: int) -> Column:

@@ -43,7 +43,7 @@ from wavegrid.llm import _blocks as B
 from wavegrid.llm._graph import components
 from wavegrid.llm._store import materialise, ship
 from wavegrid.llm._text import mix64, text_sets
-from wavegrid.llm.words import GAP
+from wavegrid.llm.words import GAP, spare
 
 #: Largest number of distinct sets that one task compares.
 GROUP = 4000
@@ -329,8 +329,8 @@ def join_components(documents: DataFrame, width: int = 5, threshold: int = 80) -
     return linked.unionByName(alone)
 
 
-def _with_set_key(documents: DataFrame, width: int) -> DataFrame:
-    """documents with _set, the set's key; null where the set is empty."""
+def _with_set_key(documents: DataFrame, width: int, name: str) -> DataFrame:
+    """documents with the set's key in a column of that name; null where the set is empty."""
     text = documents.columns.index("text")
 
     def run(batches):
@@ -338,9 +338,9 @@ def _with_set_key(documents: DataFrame, width: int) -> DataFrame:
             keys = [None] * batch.num_rows
             for i, s in text_sets([x and x.encode() for x in batch.column(text).to_pylist()], width):
                 keys[i] = _signed(_set_key(s))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_set"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, name])
 
-    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField("_set", T.LongType())]))
+    return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def keep_one(documents: DataFrame, width: int = 5, threshold: int = 80) -> DataFrame:
@@ -351,12 +351,13 @@ def keep_one(documents: DataFrame, width: int = 5, threshold: int = 80) -> DataF
     keyed, classes = _linked(documents, width, threshold)
     empty = keyed.where("set_key is null")
     best = classes.groupBy("root").agg(F.min(F.struct("least.unnamed", "least.doc_id", "set_key")).alias("best"))
-    kept = best.select("best.doc_id", F.col("best.set_key").alias("_set")).unionByName(empty.where("doc_id is not null").select("doc_id", F.col("set_key").alias("_set")))
-    keys = {"_unnamed": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_blank": F.col("_set").isNull(), "_set": F.coalesce("_set", F.lit(0))}
+    unnamed, known, blank, own = spare(documents.columns, "unnamed", "known", "blank", "own")
+    kept = best.select("best.doc_id", F.col("best.set_key").alias(own)).unionByName(empty.where("doc_id is not null").select("doc_id", F.col("set_key").alias(own)))
+    keys = {unnamed: F.col("doc_id").isNull(), known: F.coalesce("doc_id", F.lit(0)), blank: F.col(own).isNull(), own: F.coalesce(own, F.lit(0))}
     # keys without nulls, so that the join deals the rows as dropDuplicates needs them
-    one = _with_set_key(documents, width).withColumns(keys).join(kept.withColumns(keys).select(*keys), [*keys], "left_semi").dropDuplicates([*keys])
-    blank = documents.where(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    return one.select(*documents.columns).unionByName(blank)
+    one = _with_set_key(documents, width, own).withColumns(keys).join(kept.withColumns(keys).select(*keys), [*keys], "left_semi").dropDuplicates([*keys])
+    bare = documents.where(F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return one.select(*[F.col(f"`{c}`") for c in documents.columns]).unionByName(bare)
 
 
 ship(__name__)

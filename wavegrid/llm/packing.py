@@ -11,17 +11,18 @@ cluster spread evenly; each group is packed in one task.
 
 Defined cases: null or blank text has size 0 and gets no bin (bin_id null); a text longer than a bin
 fills whole bins with its first pieces and packs the rest; null source is a source of its own; equal
-rows are interchangeable; an empty table gives an empty result; extra columns are ignored.
+rows are interchangeable; a null doc_id is a row like others; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm._store import ship
+from wavegrid.llm._store import materialise, ship
 from wavegrid.llm.sharding import number_rows
 from wavegrid.llm.words import count_words
 
@@ -101,11 +102,16 @@ def pack_group(rows: list[tuple], capacity: int) -> list[dict]:
 _PLAN = "bin_id long, place int, doc_id long, row_number long, piece int, start long, words int, source string"
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """bin_id, place in the bin, doc_id, row_number, piece, start and words (of the text) and source of every piece."""
+def pack(docs: DataFrame, capacity: int = CAPACITY, cluster: Column | None = None) -> DataFrame:
+    """bin_id, place in the bin, doc_id, row_number, piece, start and words (of the text) and source of every piece.
+
+    cluster: a number of the document's duplicate cluster, as the components of a near-duplicate join; without it equal texts are a cluster.
+    """
     spark = docs.sparkSession
-    keys = docs.select("doc_id", count_words(F.col("text")).alias("size"), "source", F.xxhash64("text").alias("cluster"))
-    n = docs.count()
+    cluster = F.xxhash64("text") if cluster is None else cluster.cast("long")
+    keys = docs.select("doc_id", count_words(F.col("text")).alias("size"), "source", cluster.alias("cluster"))
+    keys = materialise(keys, "sizes")  # texts are read once
+    n = keys.count()
     if n == 0:
         return spark.createDataFrame([], _PLAN)
     groups = -(-n // GROUP)

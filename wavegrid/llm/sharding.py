@@ -24,6 +24,8 @@ ROUNDS = 6
 WALK = 66
 #: Rows are numbered bucket by bucket; the table of bucket offsets has this many rows at most.
 BUCKETS = 4096
+#: Copies of one row that one task expands.
+PIECE = 1 << 16
 
 
 def domain(n: int) -> tuple[int, int]:
@@ -92,14 +94,17 @@ def number_rows(keys: DataFrame, columns: list[str]) -> DataFrame:
     within = Window.partitionBy("bucket").orderBy(*[F.col(c).asc_nulls_first() for c in columns]).rowsBetween(Window.unboundedPreceding, 0)
     first = counted.withColumn("first", F.sum("copies").over(within) - F.col("copies"))
     ranges = first.join(F.broadcast(offsets), "bucket").withColumn("first", F.col("first") + F.col("offset"))
-    return ranges.select(*columns, F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1)).alias("row_number"))
+    # a key of many copies is dealt out in pieces before it is expanded
+    pieces = ranges.withColumn("piece", F.explode(F.sequence("first", F.col("first") + F.col("copies") - 1, F.lit(PIECE).cast("long")))).repartition("piece")
+    last = F.least(F.col("piece") + PIECE, F.col("first") + F.col("copies")) - 1
+    return pieces.select(*columns, F.explode(F.sequence("piece", last)).alias("row_number"))
 
 
 def shard(documents: DataFrame, shards: int = 16, seed: int = 20) -> DataFrame:
     """doc_id, size, text_crc32, row_number, shard and slot of each document."""
     text = F.coalesce("text", F.lit(""))
     keys = documents.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    n = documents.count()
+    n = keys.count()
     if n == 0:
         return keys.select("*", F.lit(0).cast("long").alias("row_number"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")).where("false")
     rows = number_rows(keys, ["doc_id", "size", "text_crc32"]).withColumn("place", permute(F.col("row_number"), n, seed))

@@ -3,8 +3,12 @@
 Built of SQL functions only. A URL that a rule fits takes the rule's verdict. The canonical form of any
 other URL is tested against a blocked Bloom filter of the listed canonical URLs: one 256-bit block per
 URL, eight bits in it. The few that pass go to an exact join with the list, which removes the false
-positives; all others never leave their task. The filter has MAX_BLOCKS blocks at most, 32 bytes each,
-so its broadcast is bounded whatever the list's size; a longer list only passes more false positives.
+positives; all others never leave their task. The filter grows with the list, 12 bits a URL. Up to
+BROADCAST_BLOCKS blocks of 32 bytes it is broadcast; beyond, the join with its blocks is an ordinary one,
+in which URLs meet their block by its number.
+
+Up to CASE_RULES rules are tried by one expression; more are a table, joined by host suffix to each distinct
+(host, path), of whose fitting rules the first in order is kept.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path, no canonical form, fits only
 a rule without a host and is else allowed; repeated rows stay repeated; of equally long rules a blocking one wins, then the smaller
@@ -22,8 +26,8 @@ from wavegrid.llm.words import lower_ascii
 
 #: 12 bits a listed URL: about 20 URLs in a block of 256 bits, one false positive in 200 or so.
 BITS_PER_URL = 12
-MAX_BLOCKS = 1 << 16
-MAX_RULES = 1000
+BROADCAST_BLOCKS = 1 << 18
+CASE_RULES = 100
 
 
 @dataclass(frozen=True)
@@ -64,6 +68,22 @@ def _fits(rule: Rule, h: Column, p: Column) -> Column:
     return on & F.startswith(p, F.lit(rule.path))
 
 
+def _ruled(judged: DataFrame, best: list[Rule]) -> DataFrame:
+    """Adds rule and by_rule, its verdict, of the first of the rules that fits."""
+    if len(best) <= CASE_RULES:
+        first = lambda value: F.coalesce(*[F.when(_fits(r, F.col("host"), F.col("path")), F.lit(value(r))) for r in best], F.lit(None).cast("string"))
+        return judged.withColumns({"rule": first(lambda r: r.rule), "by_rule": first(lambda r: r.verdict)})
+    rows = [(r.host, r.path, r.rule, r.verdict, i) for i, r in enumerate(best)]
+    table = judged.sparkSession.createDataFrame(rows, "site string, start string, rule string, verdict string, place int")
+    parts = F.split("host", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    places = judged.select("host", "path").distinct()
+    tried = places.withColumn("site", F.explode(F.array_distinct(F.concat(tails, F.array(F.lit(""))))))
+    found = tried.join(table, "site").where(F.startswith("path", "start"))
+    found = found.groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), "place").alias("r")).select("host", "path", "r.rule", F.col("r.verdict").alias("by_rule"))
+    return judged.join(found, ["host", "path"], "left")
+
+
 def _mask(url: Column) -> list[Column]:
     """Four longs with two bits each: the URL's bits in its block, taken from 40 bits of a second hash."""
     h = F.xxhash64(url, F.lit(1))
@@ -85,16 +105,14 @@ def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
     """page_id, host, path, rule, verdict, canonical_url, listed; ``listed`` has a column canonical_url."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; {MAX_RULES} at most")
     listed = listed.select("canonical_url").where("canonical_url is not null").distinct()
-    blocks = max(1, min(MAX_BLOCKS, listed.count() * BITS_PER_URL // 256 + 1))
-    words = F.broadcast(bloom_filter(listed, blocks))  # MAX_BLOCKS rows at most
+    blocks = listed.count() * BITS_PER_URL // 256 + 1
+    words = bloom_filter(listed, blocks)
+    words = F.broadcast(words) if blocks <= BROADCAST_BLOCKS else words  # 10 MB at most
 
     judged = pages.select("page_id", F.col("url").alias("_url"), host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
-    best = sorted(rules, key=lambda r: (-len(r.rule), r.verdict != "block", r.rule))
-    first = lambda value: F.coalesce(*[F.when(_fits(r, F.col("host"), F.col("path")), F.lit(value(r))) for r in best], F.lit(None).cast("string"))
-    judged = judged.withColumns({"rule": first(lambda r: r.rule), "by_rule": first(lambda r: r.verdict), "canonical_url": canonical(F.col("_url"))}).drop("_url")
+    judged = _ruled(judged, sorted(rules, key=lambda r: (-len(r.rule), r.verdict != "block", r.rule)))
+    judged = judged.withColumn("canonical_url", canonical(F.col("_url"))).drop("_url")
 
     masks = _mask(F.col("canonical_url"))
     hit = F.col("block") == _block(F.col("canonical_url"), blocks)
