@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 
 from wavegrid.llm._store import materialise
 from wavegrid.llm.words import WORD, lower_ascii
+from wavegrid.operators.ordering import range_of
 
 SAMPLES = 32
 #: Ranges of doc_id in which rows are ordered; the tables of range bounds and first rows are bounded by it.
 RANGES = 1024
+#: Copies of one row that are expanded at once.
+PIECE = 1 << 12
 _KEYS = ["__id", "__none", "__hash"]
 _NEXT = ["__nid", "__nnone", "__nhash"]
 
@@ -83,7 +86,7 @@ def successors(keys: DataFrame) -> DataFrame:
     n = rows.count()
     cuts = min(RANGES, max(1, n // 4096))
     bounds = keys.where("not __none").select(F.percentile_approx("__id", [i / cuts for i in range(1, cuts)] or [0.5], 10000).alias("b")).first()["b"] or []
-    at = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in sorted(set(bounds))]), lambda b: b <= F.col("__id"))) if bounds else F.lit(0)
+    at = range_of(F.col("__id"), sorted(set(bounds)))
     no_id = F.floor(F.col("__hash") / F.lit(2.0**64) * cuts).cast("int") - 2 * cuts  # rows without doc_id come first, by hash
     ranged = rows.withColumn("__range", F.when(F.col("__none"), no_id).otherwise(at))
     me = F.struct(F.col("__none").alias("__nnone"), F.col("__id").alias("__nid"), F.col("__hash").alias("__nhash"))
@@ -124,5 +127,5 @@ def fingerprint(documents: DataFrame, samples: int = SAMPLES) -> DataFrame:
         F.when(~F.col("__none"), F.col("__id")).alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"),
         as_text(F.col("mine")).alias("fingerprint"), as_text(F.col("edit")).alias("edited_fingerprint"),
         likeness(F.col("mine"), F.col("edit")).alias("near_edited"), likeness(F.col("mine"), F.col("theirs")).alias("near_next"),
-        F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy"),
-    ).drop("__copy")
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(PIECE).cast("long"))).alias("__piece"), "copies",
+    ).withColumn("__copy", F.explode(F.sequence("__piece", F.least(F.col("__piece") + PIECE, F.col("copies")) - 1))).drop("__piece", "__copy", "copies")

@@ -46,7 +46,7 @@ from wavegrid.llm._text import mix64, text_sets
 from wavegrid.llm.words import GAP, spare
 
 #: Largest number of distinct sets that one task compares.
-GROUP = 4000
+GROUP = 1000
 
 
 def least_overlap(a: int, b: int, threshold: int) -> int:
