@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the rows it keeps with the columns of documents; the
 last returns the packing plan. A stage's result is written as Parquet and read by the next.
+
+Defined cases: null or blank text goes with the quality rules; a null lang is judged by script and not
+learned from; a null source is a source of its own; of documents without doc_id one of each near-duplicate
+group stays; repeated rows are one group; extra columns, whatever their names, stay up to the last stage; an
+empty table, or one that a stage empties, gives an empty plan.
 """
 
 from __future__ import annotations

@@ -43,6 +43,7 @@ TUNINGS = {
 # Place of each note on the chain of fifths.
 FIFTHS = {"F": -1, "C": 0, "G": 1, "D": 2, "A": 3, "E": 4, "B": 5, "F#": 6, "C#": 7, "G#": 8, "D#": 9, "A#": 10, "E#": 11}
 
+# Names of the twelve semitones.
 NOTE_NAMES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 
 # General MIDI programs of the voices.
@@ -103,3 +104,6 @@ STAGE_OUTPUTS = {
     "notate": ["{n}.notes.mid", "{n}.verify.json", "{n}.notes.wav"],
     "notes_decode": ["{n}.notes.png"],
 }
+
+# Formants of the reed voice, as centre (Hz), width and height.
+REED_FORMANTS = [(1150, 600, 1.0), (2700, 900, 0.45), (550, 400, 0.4)]

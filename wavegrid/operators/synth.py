@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from wavegrid.functions.tables import VOICE_PROGRAMS
+from wavegrid.functions.tables import REED_FORMANTS, VOICE_PROGRAMS
+
+#: Resonances of the instruments' boxes: Hz, width, gain.
+HARP_BODY = [(190.0, 60.0, 0.5), (420.0, 120.0, 0.35)]
+LYRE_BODY = [(310.0, 90.0, 0.6), (740.0, 160.0, 0.4)]
 
 Note = tuple[float, float, float, int]  # start beat, beats, Hz, velocity
 
@@ -24,7 +28,24 @@ def struck(hz: float, seconds: float, sr: int, decay: float, partials: Sequence[
     return out * (1 + wobble * np.sin(2 * np.pi * 5.5 * t)) * np.minimum(t / 0.004, 1)
 
 
-def plucked(hz: float, seconds: float, sr: int, rng: np.random.Generator, t60: float, at: float, bright: float, tail: float) -> np.ndarray:
+def pluck_shape(n: int, at: float, finger: float, scratch: float, rng: np.random.Generator) -> np.ndarray:
+    """One period of a string drawn to a triangle at a place (a share of its length), rounded by a finger's width, with a plectrum's noise."""
+    place = (np.arange(n) + 0.5) / n
+    shape = np.where(place < at, place / at, (1 - place) / (1 - at))
+    width = max(1, int(finger * n))
+    shape = np.convolve(np.concatenate((shape[-width:], shape, shape[:width])), np.ones(width) / width, "same")[width : width + n]
+    shape = shape - shape.mean() + scratch * rng.uniform(-1, 1, n)
+    return shape - shape.mean()
+
+
+def body(x: np.ndarray, sr: int, resonances: Sequence[tuple[float, float, float]]) -> np.ndarray:
+    """A sound with its wooden box: gain around each resonance (Hz, width, gain), and the box's ringing with it."""
+    f = np.fft.rfftfreq(2 * len(x), 1 / sr)
+    gain = 1 + sum(g / (1 + 1j * (f - c) / w) for c, w, g in resonances)
+    return np.fft.irfft(np.fft.rfft(x, 2 * len(x)) * gain, 2 * len(x))[: len(x)]
+
+
+def plucked(hz: float, seconds: float, sr: int, rng: np.random.Generator, t60: float, at: float, bright: float, tail: float, finger: float = 0.08, scratch: float = 0.02) -> np.ndarray:
     """A delay line fed back through a one-zero low-pass; its length is exact through third-order Lagrange taps.
 
     The loop is run period by period: within one period every sample depends on the period before only.
@@ -36,10 +57,7 @@ def plucked(hz: float, seconds: float, sr: int, rng: np.random.Generator, t60: f
     taps = np.array([np.prod([(d - m) / (k - m) for m in range(4) if m != k]) for k in range(4)])
     low = np.array([bright / 2, 1 - bright, bright / 2])
     kernel = np.convolve(taps, low) * 10 ** (-3 / (hz * t60))
-    pick = rng.uniform(-1, 1, max(int(period), 4))
-    pick -= pick.mean()
-    comb = max(1, int(at * len(pick)))
-    pick = pick - np.roll(pick, comb)
+    pick = pluck_shape(max(int(period), 4), at, finger, scratch, rng)
     first = whole  # delay of the kernel's first tap
     head = min(len(pick), n)
     feed = np.zeros(n)
@@ -54,41 +72,72 @@ def plucked(hz: float, seconds: float, sr: int, rng: np.random.Generator, t60: f
     return buf[lead:]
 
 
+def hammered(hz: float, seconds: float, sr: int, decay: float, rng: np.random.Generator, stiff: float = 0.0004, tail: float = 1.0) -> np.ndarray:
+    """A stiff string struck at an eighth of its length: stretched partials, each with a fast and a slow decay, and the hammer's knock."""
+    t = np.arange(int((seconds + tail) * sr)) / sr
+    out = np.zeros(len(t))
+    contact = 1.5 / (1 + hz / 900)  # a heavier hammer damps the high partials of low strings
+    for k in range(1, 25):
+        f = k * hz * math.sqrt(1 + stiff * k * k)
+        if f >= sr / 2:
+            break
+        strength = abs(math.sin(math.pi * k / 8)) / k * math.exp(-contact * (k - 1) / 8)
+        fast = decay * (1 + 0.35 * k)
+        out += strength * np.sin(2 * np.pi * f * t) * (0.75 * np.exp(-fast * t) + 0.25 * np.exp(-fast * t / 5))
+    knock = rng.standard_normal(len(t)) * np.exp(-t / 0.008) * 0.03
+    return (out + knock) * np.minimum(t / 0.002, 1)
+
+
 def blown(hz: float, seconds: float, sr: int, rng: np.random.Generator) -> np.ndarray:
-    """A reed: settling pitch, late vibrato, many partials shaped by formants, some breath."""
+    """A reed: settling pitch, late vibrato, many partials shaped by formants, breath that drifts, and a stop at the note's end."""
     n = int((seconds + 0.12) * sr)
     t = np.arange(n) / sr
     pitch = hz * (1 - 0.03 * np.exp(-t / 0.03)) * (1 + 0.004 * np.clip((t - 0.25) / 0.3, 0, 1) * np.sin(2 * np.pi * 5.2 * t))
     phase = 2 * np.pi * np.cumsum(pitch) / sr
-    formants = [(1150, 600, 1.0), (2700, 900, 0.45), (550, 400, 0.4)]  # centre, width, height
     out = np.zeros(n)
     for k in range(1, 30):
         if k * hz < sr / 2:
-            out += sum(h * math.exp(-(((k * hz - c) / w) ** 2)) for c, w, h in formants) * np.sin(k * phase) / k**0.3
+            out += (0.02 + sum(h * math.exp(-(((k * hz - c) / w) ** 2)) for c, w, h in REED_FORMANTS)) * np.sin(k * phase) / k**0.3
+    slow = max(1, int(0.15 * sr))
+    drift = 1 + 8 * np.convolve(rng.standard_normal(n), np.ones(slow) / slow, "same") if n else np.zeros(0)
     rise = np.minimum(t / 0.05, 1) * np.clip((seconds + 0.12 - t) / 0.12, 0, 1)
-    return (out + 0.02 * rng.standard_normal(n)) * rise
+    return (out + 0.02 * drift * rng.standard_normal(n)) * rise
 
 
-def held(hz: float, seconds: float, sr: int) -> np.ndarray:
-    """A pad: three voices a few cents apart, slow attack and release."""
-    t = np.arange(int((seconds + 0.9) * sr)) / sr
-    out = sum(w * np.sin(2 * np.pi * hz * 2 ** (c / 1200) * k * t) for c in (-7, 0, 7) for k, w in enumerate((1, 0.35, 0.18, 0.1, 0.05), 1) if hz * k < sr / 2)
-    return out * np.minimum(t / 0.35, 1) * np.clip((seconds + 0.9 - t) / 0.9, 0, 1)
+#: Recipes of voices: weights of the partials, cents apart, attack and release in seconds, decay a second, depth and rate of vibrato.
+RECIPES = {
+    "pad": {"partials": (1, 0.35, 0.18, 0.1, 0.05), "detune": (-7, 0, 7), "attack": 0.35, "release": 0.9, "decay": 0.0, "vibrato": (0.0, 5.0)},
+    "organ": {"partials": (1, 0.6, 0.0, 0.4, 0.0, 0.0, 0.0, 0.25), "detune": (0,), "attack": 0.02, "release": 0.08, "decay": 0.0, "vibrato": (0.002, 6.0)},
+    "strings": {"partials": tuple(1 / k for k in range(1, 13)), "detune": (-5, 4), "attack": 0.18, "release": 0.35, "decay": 0.2, "vibrato": (0.004, 5.4)},
+}
+
+
+def from_recipe(hz: float, seconds: float, sr: int, recipe: Mapping[str, object]) -> np.ndarray:
+    """A voice that a recipe describes: partials at whole numbers, voices a few cents apart, attack, release, decay and vibrato."""
+    depth, rate = recipe["vibrato"]
+    t = np.arange(int((seconds + recipe["release"]) * sr)) / sr
+    time = t + depth / (2 * np.pi * rate) * (1 - np.cos(2 * np.pi * rate * t))
+    out = np.zeros(len(t))
+    for cents in recipe["detune"]:
+        for k, weight in enumerate(recipe["partials"], 1):
+            f = hz * 2 ** (cents / 1200) * k
+            if weight and f < sr / 2:
+                out += weight * np.sin(2 * np.pi * f * time)
+    return out * np.exp(-recipe["decay"] * t) * np.minimum(t / recipe["attack"], 1) * np.clip((seconds + recipe["release"] - t) / recipe["release"], 0, 1)
 
 
 def one_note(voice: str, hz: float, seconds: float, sr: int, decay: float, rng: np.random.Generator) -> np.ndarray:
-    whole = [(k, 1 / k**1.3) for k in range(1, 9)]
     make = {
         "vibes": lambda: struck(hz, seconds, sr, decay, [(1, 1), (2, 0.4), (3, 0.2), (4, 0.1)]),
         "vibraphone": lambda: struck(hz, seconds, sr, decay * 0.6, [(1, 1), (4, 0.25), (10, 0.08)], tail=1.5, wobble=0.15),
-        "piano": lambda: struck(hz, seconds, sr, decay * (hz / 440) ** 0.3, [(k * math.sqrt(1 + 0.0004 * k * k), w) for k, w in whole]),
-        "harp": lambda: plucked(hz, seconds, sr, rng, min(9.0, max(1.2, 7.0 * (220 / hz) ** 0.6)), 0.33, 0.13, 2.6),
-        "lyre": lambda: plucked(hz, seconds, sr, rng, min(4.0, max(0.6, 4.5 * (220 / hz) ** 0.5)), 0.13, 0.10, 1.3),
+        "piano": lambda: hammered(hz, seconds, sr, decay * (hz / 440) ** 0.3, rng),
+        "harp": lambda: body(plucked(hz, seconds, sr, rng, min(9.0, max(1.2, 7.0 * (220 / hz) ** 0.6)), 0.33, 0.13, 2.6), sr, HARP_BODY),
+        "lyre": lambda: body(plucked(hz, seconds, sr, rng, min(4.0, max(0.6, 4.5 * (220 / hz) ** 0.5)), 0.13, 0.10, 1.3, 0.03, 0.06), sr, LYRE_BODY),
         "reed": lambda: blown(hz, seconds, sr, rng),
-        "pad": lambda: held(hz, seconds, sr),
+        **{name: lambda recipe=recipe: from_recipe(hz, seconds, sr, recipe) for name, recipe in RECIPES.items()},
     }
     if voice not in make:
-        raise ValueError(f"unknown voice {voice}; known: {', '.join(VOICE_PROGRAMS)}")
+        raise ValueError(f"unknown voice {voice}; known: {', '.join(sorted({*VOICE_PROGRAMS, *RECIPES}))}")
     return make[voice]()
 
 
