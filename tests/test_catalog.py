@@ -52,6 +52,9 @@ def test_broadcasts_and_pushdown(spark, small):
     q = catalog.queries()
     plan = q["resume_pending"](spark, small)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), EqualTo(l_quantity,50.0)" in plan and "ReadSchema: struct<l_partkey:bigint,l_quantity:double>" in plan
-    for name in ("even_clock_interp", "nearest_onset", "finding_overlap", "local_ratio", "rates_not_shared"):
+    for name in ("even_clock_interp", "nearest_onset", "finding_overlap", "local_ratio"):
         plan = q[name](spark, small)._jdf.queryExecution().toString()
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan.split("== Physical Plan ==")[1] or name == "rates_not_shared", name
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan.split("== Physical Plan ==")[1], name
+    # rates are compared with the few shared ones in a loop, of which the smaller side is a report
+    plan = q["rates_not_shared"](spark, small)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan

@@ -153,6 +153,9 @@ def test_exact_quantiles_and_places(spark):
         assert np.allclose(out[k], np.quantile(x, [0.0, 0.01, 0.5, 0.77, 1.0]))
     n = numbered(df.where("v is not null"), "v").collect()
     assert sorted(r.place for r in n) == list(range(len(n))) and all(a.v <= b.v for a, b in zip(sorted(n, key=lambda r: r.place), sorted(n, key=lambda r: r.place)[1:]))  # noqa: B905
+    names = [f"clip-{i * 37 % 900}é" for i in range(900)] + ["clip-", "clip-1"]
+    placed = numbered(spark.createDataFrame([(x,) for x in names], "name string").repartition(4), "name").collect()
+    assert [r.name for r in sorted(placed, key=lambda r: r.place)] == sorted(names, key=str.encode)
     bounds = [1, 4, 5, 9, 12, 30]
     got = spark.range(-2, 40).select("id", range_of(F.col("id"), bounds).alias("p")).collect()
     assert all(r.p == sum(b <= r.id for b in bounds) for r in got)

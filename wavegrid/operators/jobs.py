@@ -26,7 +26,7 @@ def variants(spark: SparkSession, axes: Mapping[str, Sequence], allowed: Column
 
 
 def shard(df: DataFrame, order: str, index: int, of: int) -> DataFrame:
-    """Every of-th row from the index-th (from 1) in the order of a unique, numeric column."""
+    """Every of-th row from the index-th (from 1) in the order of a unique column, numeric or string."""
     return numbered(df, order).where(F.col("place") % of == index - 1).drop("place")
 
 

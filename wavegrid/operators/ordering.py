@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Ranges that are numbered one after the other; their bounds and offsets are this many rows.
 RANGES = 256
@@ -24,10 +26,20 @@ def range_of(x: Column, bounds: Sequence[float | int]) -> Column:
     return F.when(part == 0, 0).otherwise((part - 1) * side + up_to(inner))
 
 
+def _as_number(df: DataFrame, order: str) -> Column:
+    """A number that never falls along the order: the column, or the seven bytes of a string after what all strings begin with."""
+    if not isinstance(df.schema[order].dataType, StringType):
+        return F.col(order)
+    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    shared = len(os.path.commonprefix([(ends["lo"] or "").encode(), (ends["hi"] or "").encode()]))
+    return F.conv(F.rpad(F.hex(F.substring(F.col(order).cast("binary"), shared + 1, 7)), 14, "0"), 16, 10).cast("long")
+
+
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """Adds place, from 0, in the order of a numeric column; equal values take places in any order."""
-    cuts = df.select(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10000).alias("c")).first()["c"] or []
-    parted = df.withColumn("__part", range_of(F.col(order), sorted({c for c in cuts if c is not None})))
+    """Adds place, from 0, in the order of a numeric or string column; equal values take places in any order."""
+    number = _as_number(df, order)
+    cuts = df.select(F.percentile_approx(number, [i / RANGES for i in range(1, RANGES)], 10000).alias("c")).first()["c"] or []
+    parted = df.withColumn("__part", range_of(number, sorted({c for c in cuts if c is not None})))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
