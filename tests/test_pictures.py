@@ -32,3 +32,18 @@ def test_contact_sheet(spark):
 def test_rulers():
     r = pictures.rulers(80, 8000, 4.0, 200, 400)
     assert ("hz", "100", 189) in r and ("time", "4", 399) in r and [x for x in r if x[0] == "note"][0][1] == "C3"
+
+
+def test_image_scan(spark, tmp_path):
+    from wavegrid.sources import images
+
+    rng = np.random.default_rng(2)
+    grey, colour = rng.integers(0, 256, (12, 16), dtype=np.uint8), rng.integers(0, 256, (12, 16, 3), dtype=np.uint8)
+    (tmp_path / "g.png").write_bytes(png.encode(grey))
+    (tmp_path / "c.png").write_bytes(png.encode(colour))
+    (tmp_path / "no.png").write_bytes(b"nothing")
+    out = {r.stem: np.array(r.v).reshape(12, 16) for r in images.grids(spark, str(tmp_path), 12, 16).collect()}
+    assert set(out) == {"g", "c"} and np.allclose(out["g"][::-1] * 255, grey, atol=0.51)
+    assert np.abs(out["c"][::-1] * 255 - colour @ np.array([0.299, 0.587, 0.114])).max() <= 1
+    small = images.grids(spark, f"{tmp_path}/g.png", 6, 8).first()
+    assert len(small.v) == 48 and 0 <= min(small.v) <= max(small.v) <= 1

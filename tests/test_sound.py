@@ -55,6 +55,14 @@ def test_wav_scan_tile_assemble_lossless(spark, tmp_path):
     assert bytes(r.r.content) == body and r.r.jpeg and bytes(r.w) == wav.header(SR, 1, 8, len(body)) + body
 
 
+def test_converted_tiles(spark):
+    x = tone(50, 2, 1000)
+    df = spark.createDataFrame([("a", 1000, 2000, k, k * 700, x[k * 700 : (k + 1) * 700].astype(np.float32).tolist()) for k in range(3)], wav.SIGNAL)
+    r = wav.converted(df, 2000, 0.5, 1.0).first()
+    assert (r.sr, r.n, len(r.samples)) == (2000, 2000, 2000) and np.allclose(r.samples[::2], x[500:1500], atol=1e-5)
+    assert wav.tile(df, 1.5, 2.0).first().n == 500 and wav.converted(df, 1000).first().n == 2000
+
+
 def test_png_round_trip():
     rng = np.random.default_rng(0)
     for shape in ((5, 7), (5, 7, 3)):

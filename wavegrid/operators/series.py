@@ -61,9 +61,20 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: str, name: str
     return df.withColumn(name, F.sum(value).over(by(key, *order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def moving_average(df: DataFrame, key: str, order: list[str], value: str, half: int, name: str = "smooth") -> DataFrame:
-    """Mean of the samples up to half before and after; at the ends, of those that exist."""
-    return df.withColumn(name, F.avg(value).over(by(key, *order).rowsBetween(-half, half)))
+def moving_average(df: DataFrame, key: str, order: list[str], value: str, half: int, name: str = "smooth", ends: str = "shrink") -> DataFrame:
+    """Mean of the samples up to half before and after. ends: "shrink" takes those that exist, "same" counts missing ones as 0, "hold" repeats the first and the last."""
+    around = by(key, *order).rowsBetween(-half, half)
+    if ends == "shrink":
+        return df.withColumn(name, F.avg(value).over(around))
+    total = F.sum(value).over(around)
+    if ends == "hold":
+        first, last = by(key, *order).rowsBetween(Window.unboundedPreceding, 0), by(key, *order).rowsBetween(0, Window.unboundedFollowing)
+        lacking = lambda n: F.greatest(F.lit(0), half + 1 - n)
+        before, after = F.count(F.lit(1)).over(by(key, *order).rowsBetween(-half, 0)), F.count(F.lit(1)).over(by(key, *order).rowsBetween(0, half))
+        total = total + lacking(before) * F.first(value).over(first) + lacking(after) * F.last(value).over(last)
+    elif ends != "same":
+        raise ValueError(f"ends must be shrink, same or hold, not {ends}")
+    return df.withColumn(name, total / (2 * half + 1))
 
 
 def step_outliers(df: DataFrame, tile: str, step: str, value: str, times: float, least: float = 0.5) -> DataFrame:
@@ -85,9 +96,11 @@ def onsets(df: DataFrame, key: str, order: list[str], value: str = "value") -> D
     return r.where((F.col("strength") > F.col("bar")) & peak).drop("before", "after")
 
 
-def on_even_clock(df: DataFrame, key: str, step: float, t: str = "t", value: str = "value", tie: str = "event_id") -> DataFrame:
+def on_even_clock(df: DataFrame, key: str, step: float, t: str = "t", value: str = "value", tie: str = "event_id", held: tuple[int, int] | None = None) -> DataFrame:
     """Linear interpolation onto multiples of step between a series' first and last sample.
 
+    held: (first tick, last tick) of a clock that goes beyond; there the first and the last value are held.
+
     A two-sided as-of join by one sort: each gap between neighbouring samples makes the clock ticks that
     fall into it, so no samples are joined with ticks. Of samples at one time the last counts.
     """
@@ -97,7 +110,15 @@ def on_even_clock(df: DataFrame, key: str, step: float, t: str = "t", value: str
     ticks = F.sequence(F.ceil(F.col(t) / step), F.ceil(F.col("t1") / step) - 1)
     some = gaps.where(F.ceil(F.col(t) / step) <= F.ceil(F.col("t1") / step) - 1).withColumn("tick", F.explode(ticks))
     part = (F.col("tick") * step - F.col(t)) / (F.col("t1") - F.col(t))
-    return some.select(key, "tick", (F.col(value) + part * (F.col("v1") - F.col(value))).alias(value))
+    inner = some.select(key, "tick", (F.col(value) + part * (F.col("v1") - F.col(value))).alias(value))
+    if held is None:
+        return inner
+    ends = one.groupBy(key).agg(F.min(F.struct(t, value)).alias("a"), F.max(F.struct(t, value)).alias("b"))
+    up_to, from_ = F.ceil(F.col("a")[t] / step) - 1, F.ceil(F.col("b")[t] / step)
+    low = ends.where(up_to >= held[0]).select(key, F.explode(F.sequence(F.lit(held[0]).cast("long"), up_to)).alias("tick"), F.col("a")[value].alias(value))
+    high = ends.where(from_ <= held[1]).select(key, F.explode(F.sequence(from_, F.lit(held[1]).cast("long"))).alias("tick"), F.col("b")[value].alias(value))
+    inside = inner.where((F.col("tick") >= held[0]) & (F.col("tick") <= held[1]))
+    return inside.unionByName(low.where(F.col("tick") <= held[1])).unionByName(high.where(F.col("tick") >= held[0]))
 
 
 def nearest_within(left: DataFrame, right: DataFrame, key: str, tolerance: float, t: str = "t", tie: str = "event_id") -> DataFrame:

@@ -240,6 +240,15 @@ def moving_average(spark, d):
     return series.moving_average(events(spark, d), "user_id", ["t", "event_id"], "value", 7).select("event_id", "user_id", F.round("smooth", 6).alias("smooth"))
 
 
+@query("moving_average_ends", EV + """, o as (select *, row_number() over w as i, count(*) over (partition by user_id) as n, first_value(value) over w as a, last_value(value) over (partition by user_id order by t, event_id rows between unbounded preceding and unbounded following) as b,
+  sum(value) over (partition by user_id order by t, event_id rows between 3 preceding and 3 following) as s from ev window w as (partition by user_id order by t, event_id))
+select event_id, round(s / 7, 6) as same, round((s + greatest(0, 4 - i) * a + greatest(0, 4 - (n - i + 1)) * b) / 7, 6) as held from o""")
+def moving_average_ends(spark, d):
+    order = ["t", "event_id"]
+    out = series.moving_average(events(spark, d), "user_id", order, "value", 3, "same", "same")
+    return series.moving_average(out, "user_id", order, "value", 3, "held", "hold").select("event_id", F.round("same", 6).alias("same"), F.round("held", 6).alias("held"))
+
+
 DAY = 86400.0
 
 
@@ -459,6 +468,21 @@ def even_clock_interp(spark, d):
     return series.on_even_clock(events(spark, d), "user_id", 1800.0).select("user_id", "tick", F.round("value", 5).alias("value"))
 
 
+@query(
+    "held_clock",
+    EV + """, o as (select user_id, t, arg_max(value, event_id) as value from ev group by 1, 2),
+g as (select *, lead(t) over w as t1, lead(value) over w as v1 from o window w as (partition by user_id order by t)),
+e as (select user_id, min(t) as a, max(t) as b, arg_min(value, t) as va, arg_max(value, t) as vb from o group by 1),
+k as (select *, unnest(range(ceil(t / 86400)::bigint, ceil(t1 / 86400)::bigint)) as tick from g where t1 is not null),
+every as (select user_id, tick, value + (tick * 86400.0 - t) / (t1 - t) * (v1 - value) as value from k
+  union all select user_id, unnest(range(19700, ceil(a / 86400)::bigint)), va from e union all select user_id, unnest(range(ceil(b / 86400)::bigint, 19801)), vb from e)
+select user_id, tick, round(value, 5) as value from every where tick between 19700 and 19800""",
+)
+def held_clock(spark, d):
+    """A daily clock that begins before and ends after the events."""
+    return series.on_even_clock(events(spark, d), "user_id", 86400.0, held=(19700, 19800)).select("user_id", "tick", F.round("value", 5).alias("value"))
+
+
 @query(
     "nearest_onset",
     EV + """, p as (select event_id, user_id, t from ev where event_type = 'purchase'), c as (select distinct user_id, t as ct from ev where event_type = 'click'),

@@ -88,7 +88,18 @@ def tile(signal: DataFrame, start: float, length: float) -> DataFrame:
     lo, hi = F.floor(start * F.col("sr")), F.floor((start + length) * F.col("sr"))
     first, last = F.greatest(lo, F.col("start_sample")), F.least(hi, F.col("start_sample") + F.size("samples"))
     cut = F.slice("samples", (first - F.col("start_sample") + 1).cast("int"), (last - first).cast("int"))
-    return signal.where(last > first).select("stem", "sr", (hi - lo).alias("n"), "chunk_no", (first - lo).alias("start_sample"), cut.alias("samples"))
+    return signal.where(last > first).select("stem", "sr", (F.least(hi, F.col("n")) - lo).cast("long").alias("n"), "chunk_no", (first - lo).alias("start_sample"), cut.alias("samples"))
+
+
+def converted(signal: DataFrame, sr: int, start: float = 0.0, length: float | None = None) -> DataFrame:
+    """A recording's samples from start for length seconds, at another rate, in one chunk; one recording a task."""
+    from wavegrid.operators.signal import resample, whole
+
+    def kernel(stem, old, x):
+        y = resample(x, max(1, round(len(x) * sr / old))) if len(x) and old != sr else x
+        return pd.DataFrame([(stem, sr, len(y), 0, 0, y.astype(np.float32))], columns=["stem", "sr", "n", "chunk_no", "start_sample", "samples"])
+
+    return whole(signal if length is None and not start else tile(signal, start, 1e9 if length is None else length), kernel, SIGNAL)
 
 
 def assemble(signal: DataFrame, output: str) -> DataFrame:
