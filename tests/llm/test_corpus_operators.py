@@ -97,6 +97,20 @@ def test_url_list_keeps_no_false_positive(spark, monkeypatch, broadcast):
     assert tuple(out) == (900, 899)
 
 
+def test_filter_of_many_segments(spark, monkeypatch):
+    """All listed URLs pass the filter, few others do."""
+    monkeypatch.setattr(url_filter, "SEGMENT", 4)
+    listed = spark.range(2000).select(F.concat(F.lit("h/"), "id").alias("canonical_url"))
+    rows = {r.segment: list(r.words) for r in url_filter.bloom_filter(listed, 94).collect()}
+    assert sorted(rows) == list(range(24)) and [len(rows[i]) for i in range(24)] == [16] * 23 + [8]
+    tried = spark.range(4000).select("id", F.concat(F.lit("h/"), "id").alias("u"))
+    at = tried.select("id", url_filter._block(F.col("u"), 94).alias("b"), F.array(*url_filter._mask(F.col("u"))).alias("m")).collect()
+    passed = {r.id for r in at if all(rows[r.b // 4][r.b % 4 * 4 + i] & r.m[i] == r.m[i] for i in range(4))}
+    assert set(range(2000)) <= passed and len(passed) < 2100
+    pages = tried.select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), "u").alias("url"))
+    assert url_filter.filter_urls(pages, listed, []).where("listed").count() == 2000
+
+
 def test_many_rules_as_a_table(spark, monkeypatch):
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
     rules = [*queries.RULES, url_filter.Rule("block", "/fr/2")]

@@ -17,9 +17,9 @@ RULES = [
     url_filter.Rule("block", "example.net/de/8"),
     url_filter.Rule("block", "org/es/"),
 ]
-#: The list of URLs that op1 looks up: numbered articles, with and without a second page, in four languages on all sites of these names.
+#: The list of URLs that op1 looks up: numbered articles in four languages on all sites of these names.
 LISTED_SITES = [f"{before}{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for before in ("", "m.", "blog.") for end in ("com", "net", "org")]
-LISTED_LANGUAGES, LISTED_ARTICLES, LISTED_ENDS = ["de", "en", "es", "fr"], 10_000, ["", "?page=2"]
+LISTED_LANGUAGES, LISTED_ARTICLES = ["de", "en", "es", "fr"], 10_000
 SHARDS, SHARD_SEED = 16, 20
 
 
@@ -31,7 +31,7 @@ def listed_urls(spark: SparkSession) -> DataFrame:
     """The list of canonical URLs, made by rule; it does not depend on the judged pages."""
     starts = [f"{site}/{lang}/" for site in LISTED_SITES for lang in LISTED_LANGUAGES]
     urls = spark.range(LISTED_ARTICLES).select("id", F.explode(F.array(*map(F.lit, starts))).alias("start"))
-    return urls.select(F.explode(F.array(*[F.concat("start", F.col("id").cast("string"), F.lit(end)) for end in LISTED_ENDS])).alias("canonical_url"))
+    return urls.select(F.concat("start", F.col("id").cast("string")).alias("canonical_url"))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,9 +127,9 @@ c as (
       || case when len(kept) > 0 then '?' || array_to_string(kept, '&') else '' end end as canonical_url
   from u),
 l as (
-  select b || n || '.example.' || t || '/' || g || '/' || i || e as canonical_url
+  select b || n || '.example.' || t || '/' || g || '/' || i as canonical_url
   from unnest(['', 'm.', 'blog.']) b(b), unnest(['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm']) n(n),
-    unnest(['com', 'net', 'org']) t(t), unnest(['de', 'en', 'es', 'fr']) g(g), range(10000) i(i), unnest(['', '?page=2']) e(e))
+    unnest(['com', 'net', 'org']) t(t), unnest(['de', 'en', 'es', 'fr']) g(g), range(10000) i(i))
 select page_id, host, path, rule,
   case when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block' when rule is not null then 'allow'
        when l.canonical_url is not null then 'block' else 'allow' end as verdict,

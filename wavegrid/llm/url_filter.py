@@ -3,9 +3,9 @@
 Built of SQL functions only. A URL that a rule fits takes the rule's verdict. The canonical form of any
 other URL is tested against a blocked Bloom filter of the listed canonical URLs: one 256-bit block per
 URL, eight bits in it. The few that pass go to an exact join with the list, which removes the false
-positives; all others never leave their task. The filter grows with the list, 12 bits a URL. Up to
-BROADCAST_BLOCKS blocks of 32 bytes it is broadcast; beyond, the join with its blocks is an ordinary one,
-in which URLs meet their block by its number.
+positives; all others never leave their task. The filter grows with the list, 12 bits a URL, and stands in
+rows of SEGMENT blocks. Up to BROADCAST_BLOCKS blocks of 32 bytes it is broadcast; beyond, the join with its
+rows is an ordinary one, in which URLs meet their block by its number.
 
 Up to CASE_RULES rules are tried by one expression; more are a table, joined by host suffix to each distinct
 (host, path), of whose fitting rules the first in order is kept.
@@ -22,11 +22,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavegrid.llm._store import materialise
 from wavegrid.llm.words import lower_ascii
 
 #: 12 bits a listed URL: about 20 URLs in a block of 256 bits, one false positive in 200 or so.
 BITS_PER_URL = 12
 BROADCAST_BLOCKS = 1 << 18
+SEGMENT = 1024
 CASE_RULES = 100
 
 
@@ -97,15 +99,19 @@ def _block(url: Column, blocks: int) -> Column:
 
 
 def bloom_filter(listed: DataFrame, blocks: int) -> DataFrame:
-    """block, w0..w3: the words of every block that has bits."""
+    """segment, words: four longs for each of SEGMENT blocks (fewer in the last), in their order."""
     masks = [m.alias(f"m{i}") for i, m in enumerate(_mask(F.col("canonical_url")))]
     bits = listed.select(_block(F.col("canonical_url"), blocks).alias("block"), *masks)
-    return bits.groupBy("block").agg(*[F.bit_or(f"m{i}").alias(f"w{i}") for i in range(4)])
+    every = listed.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"), *[F.lit(0).cast("long").alias(f"m{i}") for i in range(4)])
+    words = bits.unionByName(every).groupBy("block").agg(*[F.bit_or(f"m{i}").alias(f"w{i}") for i in range(4)])
+    block = F.struct("block", F.array("w0", "w1", "w2", "w3").alias("w"))
+    rows = words.groupBy(F.floor(F.col("block") / SEGMENT).cast("int").alias("segment")).agg(F.array_sort(F.collect_list(block)).alias("b"))  # SEGMENT blocks
+    return rows.select("segment", F.flatten(F.transform("b", lambda b: b["w"])).alias("words"))
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataFrame:
     """page_id, host, path, rule, verdict, canonical_url, listed; ``listed`` has a column canonical_url."""
-    listed = listed.select("canonical_url").where("canonical_url is not null").distinct()
+    listed = materialise(listed.select("canonical_url").where("canonical_url is not null").distinct(), "listed")
     blocks = listed.count() * BITS_PER_URL // 256 + 1
     words = bloom_filter(listed, blocks)
     words = F.broadcast(words) if blocks <= BROADCAST_BLOCKS else words  # 10 MB at most
@@ -114,10 +120,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[Rule]) -> DataF
     judged = _ruled(judged, sorted(rules, key=lambda r: (-len(r.rule), r.verdict != "block", r.rule)))
     judged = judged.withColumn("canonical_url", canonical(F.col("_url"))).drop("_url")
 
-    masks = _mask(F.col("canonical_url"))
-    hit = F.col("block") == _block(F.col("canonical_url"), blocks)
-    for i, m in enumerate(masks):
-        hit = hit & (F.col(f"w{i}").bitwiseAND(m) == m)
+    block = _block(F.col("canonical_url"), blocks)
+    hit = F.col("segment") == F.floor(block / SEGMENT).cast("int")
+    for i, m in enumerate(_mask(F.col("canonical_url"))):
+        hit = hit & (F.element_at("words", block % SEGMENT * 4 + (i + 1)).bitwiseAND(m) == m)
     hit = hit & F.col("by_rule").isNull()
     possible = judged.join(words, hit, "left_semi")
     out = ["page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "canonical_url", "listed"]
