@@ -24,6 +24,14 @@ def test_transcription_of_known_tones(spark):
     assert [round(n.freq_hz) for n in ratio] == [220, 330]
 
 
+def test_tunings_of_one_hearing(spark):
+    t = np.arange(SR) / SR
+    df = spark.createDataFrame([("s", SR, SR, 0, 0, np.sin(2 * np.pi * 300 * t).astype(np.float32).tolist())], wav.SIGNAL)
+    loud = transcription.heard(df, 120, 8, 1, 0.2, 100, 2000, 2048, 256).cache()
+    out = {r.tuning: round(r.freq_hz, 1) for r in transcription.retuned(loud, SR, {"equal": (range(12), None), "just": (None, [1, 4 / 3, 3 / 2]), "octaves": ([0], None)}).select("tuning", "freq_hz").distinct().collect()}
+    assert out == {"equal": 293.7, "just": 293.3, "octaves": 220.0}
+
+
 def keep(spark, tmp_path):
     def store(stage, df):
         df.write.mode("overwrite").parquet(f"{tmp_path}/{stage}")
