@@ -187,3 +187,81 @@ def test_notes_in_words():
     text = note_finder.in_words(found, note_finder.character(found, tonal, bright))
     assert "A4" in text and "E5" in text and ("overtones" in text or "pure" in text)
     assert math.isclose(note_finder.midi_of(440.0), 69)
+
+
+def test_lenses_from_files(spark, tmp_path):
+    import json
+
+    from wavegrid.operators import lenses, motion, plugins
+
+    (tmp_path / "halve.py").write_text("import numpy as np\nNAME = 'halve'\nDESCRIPTION = 'half as bright'\ndef lens(p, params):\n    return p / 2\n")
+    (tmp_path / "count.py").write_text("from wavegrid.operators.motion import Reading\nNAME = 'count'\ndef motion_lens(f, t, params):\n    return Reading(lines=[str(len(f))])\n")
+    (tmp_path / "broken.py").write_text("raise RuntimeError('no')\n")
+    (tmp_path / "_draft.py").write_text("raise RuntimeError('never loaded')\n")
+    try:
+        with pytest.warns(UserWarning, match="broken.py left out"):
+            assert plugins.discover(str(tmp_path)) == ["count", "halve"]
+        listed = json.loads(plugins.listing())
+        assert listed["lenses"]["halve"] == "half as bright" and "count" in listed["motion"]
+        df = spark.createDataFrame([("p", 2, 2, [1.0, 0.5, 0.0, 0.2])], "stem string, rows int, cols int, v array<float>")
+        assert np.allclose(lenses.apply(df, "halve").first().v, [0.5, 0.25, 0, 0.1])
+    finally:
+        lenses._LENSES.pop("halve", None)
+        motion._LENSES.pop("count", None)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from wavegrid.__main__ import main, parser, work
+
+    assert main(["queries"]) == 0 and main(["lenses"]) == 0 and main(["scales"]) == 0
+    said = capsys.readouterr().out
+    assert "transcribe_notes\n" in said and '"edges"' in said and "base 60: " in said
+    g = (np.linspace(0, 255, 30 * 40).reshape(30, 40)).astype(np.uint8)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(png.encode(g))
+    assert work(spark, parser().parse_args(["render", str(tmp_path / "in"), str(tmp_path / "out"), "--rows", "20", "--cols", "30", "--sr", "22050"])) == 0
+    assert "notes_decode: 1 jobs, 0 failed" in capsys.readouterr().out
+    x = synth.synthesize([(0, 1, 440.0, 100)], 120, 22050, "vibes")
+    (tmp_path / "x.wav").write_bytes(wav.encode(x, 22050))
+    assert work(spark, parser().parse_args(["notes", str(tmp_path / "x.wav")])) == 0 and "A4" in capsys.readouterr().out
+    assert work(spark, parser().parse_args(["run", "nothing", "/"])) == 2
+    with pytest.raises(SystemExit):
+        main(["unheard-of"])
+
+
+def test_voiced_tracks_and_stereo(spark):
+    t = np.arange(0, 8, 0.1)
+    tracks = [("a", t, np.sin(t * 2), 1.0), ("b", t, np.cos(t * 3), 1.0)]
+    for mode in ("glide", "notes"):
+        x, lines = synth.voiced(tracks, 0, 8, mode, sr=SR)
+        assert len(x) == 8 * SR and np.abs(x).max() == pytest.approx(0.85, rel=0.01) and len(lines) == 2 and x[0] == 0
+    x, lines = synth.voiced([], 0, 1, sr=SR)
+    assert not x.any() and lines == ["silent, nothing to voice"]
+    with pytest.raises(ValueError, match="mode"):
+        synth.voiced(tracks, 0, 1, "hum")
+    schema = "clip string, tracks array<struct<name:string,size:double,t:array<double>,value:array<double>>>"
+    df = spark.createDataFrame([("c", [("a", 1.0, t.tolist(), np.sin(t).tolist())]), ("d", [])], schema)
+    out = {r.clip: r for r in synth.voice_readings(df, sr=SR).collect()}
+    assert len(out["c"].samples) == int(t[-1] * SR) and len(out["d"].samples) == 0
+    r = wav.stereo(spark.createDataFrame([("s", SR, [0.5, 0.25], [-0.5, 0.25])], "stem string, sr int, left array<double>, right array<double>")).first()
+    body = bytes(r.content)
+    assert body[22:24] == b"\x02\x00" and np.allclose(wav.decode(body)[1], [0, 0.25], atol=1e-4)
+
+
+def test_octave_copy_is_the_relational_colour(spark):
+    from wavegrid.functions import music
+
+    hz = [80.0, 100.0, 261.6, 440.0, 1000.0, 7999.0, 20000.0]
+    got = spark.createDataFrame([(h,) for h in hz], "hz double").select(*[c.alias(n) for c, n in zip(music.octave_rgb(F.col("hz")), "rgb", strict=True)]).collect()
+    assert np.allclose([tuple(r) for r in got], pictures.octave_light(np.array(hz)), atol=1e-9)
+    p = pictures.octave_copy(np.full((5, 4), 200, np.uint8), 80, 8000)
+    assert p.shape == (5, 4, 3) and (p.max(axis=2) == 200).all() and (p[:, 0] == p[:, 3]).all()
+
+
+def test_run_settings_and_change_log(spark):
+    from wavegrid.operators import jobs, series
+
+    assert jobs.run_settings({"rows": 100, "cols": 300, "range": "full", "fscale": "linear"}) == {"f_lo": 40, "f_hi": 20000, "sr": 44100, "scale": "linear", "rows": 100, "cols": 300, "lens_params": {}}
+    assert jobs.run_settings({"rows": 100, "cols": 300, "lens": "spectral", "range": "?"})["cols"] == 100
+    log, top = series.change_log(spark.createDataFrame([("a", 0.5), ("b", 0.125), ("c", 0.5)], "name string, rms double"), "name", top=2)
+    assert [r.line for r in log.orderBy("name").collect()] == ["a 0.500000", "b 0.125000", "c 0.500000"] and [r.name for r in top.collect()] == ["a", "c"]

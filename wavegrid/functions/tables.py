@@ -107,3 +107,13 @@ STAGE_OUTPUTS = {
 
 # Formants of the reed voice, as centre (Hz), width and height.
 REED_FORMANTS = [(1150, 600, 1.0), (2700, 900, 0.45), (550, 400, 0.4)]
+
+# Centres in Hz of the gliding voices, in the order in which tracks take them.
+GLIDE_CENTRES = [220.0, 329.63, 146.83, 440.0, 110.0, 293.66]
+
+# Frequency ranges and sample rates by name.
+RANGES = {
+    "standard": {"f_lo": 80, "f_hi": 8000, "sr": 22050},
+    "low": {"f_lo": 40, "f_hi": 4000, "sr": 22050},
+    "full": {"f_lo": 40, "f_hi": 20000, "sr": 44100},
+}

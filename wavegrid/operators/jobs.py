@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wavegrid.functions.tables import RANGES
 from wavegrid.operators.ordering import numbered
 
 
@@ -88,6 +89,17 @@ def ranked(rows: DataFrame, variant: str, value: str, top: int = 12) -> DataFram
     return g.where(F.col("rank") <= top)
 
 
+def run_settings(options: Mapping[str, object]) -> dict[str, object]:
+    """Band, sample rate, frequency scale, grid and lens parameters of a run from a page's few options (range, fscale, rows, cols, lens).
+
+    The spectral lens makes square pictures of one quadrant, so that columns follow rows there.
+    """
+    band = RANGES.get(options.get("range", "standard"), RANGES["standard"])
+    rows, cols = int(options["rows"]), int(options["cols"])
+    square = options.get("lens") == "spectral"
+    return {**band, "scale": "linear" if options.get("fscale") == "linear" else "log", "rows": rows, "cols": rows if square else cols, "lens_params": {"mode": "quadrant"} if square else {}}
+
+
 def flags(config: Mapping, keys: Sequence[str]) -> list[str]:
     """Command-line flags of the known keys: True is a bare flag, a table becomes key=val,key=val."""
     out: list[str] = []

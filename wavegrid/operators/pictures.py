@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.operators.signal import resize
+from wavegrid.operators.signal import frequencies, resize
 from wavegrid.sources import png
 
 # The JPEG colour transform.
@@ -95,6 +95,19 @@ def rulers(lo: float, hi: float, seconds: float, rows: int, cols: int) -> list[t
     return out + [("time", f"{k * step:g}", round((cols - 1) * k * step / seconds)) for k in range(int(seconds / step + 1e-9) + 1)]
 
 
+def octave_light(hz: np.ndarray) -> np.ndarray:
+    """... x 3, in [0, 1]: the colour of frequencies, hue 0 to 300 degrees over each octave of light folded down."""
+    hue = np.mod(np.log2(hz / 400e12), 1.0) * 5.0
+    ramp = np.clip(np.stack([np.abs(hue - 3) - 1, 2 - np.abs(hue - 2), 2 - np.abs(hue - 4)], axis=-1), 0, 1)
+    return ramp
+
+
+def octave_copy(grey: np.ndarray, lo: float, hi: float, scale: str = "log") -> np.ndarray:
+    """RGB of a grey decoded picture (the highest pitch in row 0), each row in its pitch's colour."""
+    hz = frequencies(lo, hi, len(grey), scale)[::-1]
+    return np.clip(grey[..., None] * octave_light(hz)[:, None, :], 0, 255).astype(np.uint8)
+
+
 # --- annotated pictures ------------------------------------------------------------------------------
 
 #: A 3 x 5 face for rulers, a row of three bits to a digit.

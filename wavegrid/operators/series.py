@@ -136,6 +136,12 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, tolerance: float
     return both.withColumn("nearest", pick).where(F.abs(F.col("nearest") - F.col("t")) < tolerance).select(key, F.col("id").alias(tie), "t", "nearest")
 
 
+def change_log(changes: DataFrame, step: str, rms: str = "rms", top: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(a line "step rms" for each step, the steps of the largest changes): the log and its listing."""
+    line = F.concat(F.col(step).cast("string"), F.lit(" "), F.format_string("%.6f", rms))
+    return changes.select(step, line.alias("line")), changes.orderBy(F.desc(rms), step).limit(top)
+
+
 def diff_rms(df: DataFrame, order: list[str], value: str, key: str, normalize: bool = False) -> DataFrame:
     """Root mean square change of each step over its keys; normalize divides by the step's largest change first."""
     d = df.withColumn("change", F.col(value) - F.lag(value).over(by(key, *order))).where("change is not null")

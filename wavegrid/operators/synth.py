@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from wavegrid.functions.tables import REED_FORMANTS, VOICE_PROGRAMS
+from wavegrid.functions.tables import GLIDE_CENTRES, REED_FORMANTS, VOICE_PROGRAMS
 
 #: Resonances of the instruments' boxes: Hz, width, gain.
 HARP_BODY = [(190.0, 60.0, 0.5), (420.0, 120.0, 0.35)]
@@ -199,6 +199,47 @@ def turn_notes(t: np.ndarray, value: np.ndarray, size: float, root: float, ratio
     return out
 
 
+def voiced(tracks: Sequence[tuple[str, np.ndarray, np.ndarray, float]], begin: float, end: float, mode: str = "glide", root: float = 220.0, ratios: Sequence[float] = (1, 9 / 8, 5 / 4, 3 / 2, 5 / 3), voice: str = "vibes", sr: int = 22050) -> tuple[np.ndarray, list[str]]:
+    """(sound as long as a clip, a line for each voice) of a lens's tracks (name, t, value, size).
+
+    mode "glide" gives each track a tone whose pitch follows it, "notes" a note at each of its turns; the
+    loudest sample is 0.85 and both ends fade. Without tracks it is silence.
+    """
+    if mode not in ("glide", "notes"):
+        raise ValueError(f"mode must be glide or notes, not {mode}")
+    out, lines = np.zeros(max(0, int((end - begin) * sr))), []
+    for k, (name, t, value, size) in enumerate(tracks):
+        if mode == "glide":
+            hz = GLIDE_CENTRES[k % len(GLIDE_CENTRES)]
+            part = glide(t, value, size, hz, len(out), begin, sr)
+            lines.append(f"{name}: gliding tone around {hz:.0f} Hz")
+        else:
+            hz = root * 2.0 ** (0, 1, -1, 2)[k % 4]  # neighbours an octave apart
+            score = turn_notes(t, value, size, hz, ratios, begin)
+            part = synthesize(score, 60, sr, voice)[: len(out)] if score else np.zeros(0)
+            lines.append(f"{name}: {len(score)} {voice} notes from {hz:.0f} Hz")
+        out[: len(part)] += part
+    peak = np.abs(out).max(initial=0.0)
+    out = out * (0.85 / peak) if peak > 0 else out
+    fade = min(int(0.05 * sr), len(out) // 4)
+    ramp = np.linspace(0, 1, fade)
+    out[:fade] *= ramp
+    out[len(out) - fade :] *= ramp[::-1]
+    return out, lines or ["silent, nothing to voice"]
+
+
+def voice_readings(readings: DataFrame, mode: str = "glide", sr: int = 22050, **how) -> DataFrame:
+    """clip, sr, samples, lines: one sound of all tracks that the lenses read in a clip (clip, tracks)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tracks = [(t["name"], np.asarray(t["t"], float), np.asarray(t["value"], float), t["size"]) for row in pdf["tracks"] for t in row]
+        begin, end = min((t[1][0] for t in tracks), default=0.0), max((t[1][-1] for t in tracks), default=0.0)
+        x, lines = voiced(tracks, begin, end, mode, sr=sr, **how)
+        return pd.DataFrame({"clip": [pdf["clip"].iloc[0]], "sr": [sr], "samples": [x.astype(np.float32)], "lines": [lines]})
+
+    return readings.select("clip", "tracks").groupBy("clip").applyInPandas(run, "clip string, sr int, samples array<float>, lines array<string>")
+
+
 def perform(notes: DataFrame, bpm: float, voice: str = "vibes", sr: int = 22050) -> DataFrame:
     """(stem, start_beat, dur_beats, freq_hz, velocity) -> stem, sr, samples; one score a task."""
 

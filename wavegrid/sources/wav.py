@@ -129,6 +129,17 @@ def restored(wav: Column) -> Column:
     return F.struct(body.alias("content"), (F.hex(F.substring(body, 1, 3)) == "FFD8FF").alias("jpeg"))
 
 
+def stereo(sounds: DataFrame) -> DataFrame:
+    """stem, content: 16-bit stereo files of (stem, sr, left, right)."""
+
+    def run(batches):
+        for pdf in batches:
+            out = [encode(np.stack((np.asarray(a, float), np.asarray(b, float)), axis=1), int(sr)) for sr, a, b in zip(pdf["sr"], pdf["left"], pdf["right"], strict=True)]
+            yield pd.DataFrame({"stem": pdf["stem"], "content": out})
+
+    return sounds.select("stem", "sr", "left", "right").mapInPandas(run, "stem string, content binary")
+
+
 def write(signal: DataFrame, folder: str) -> DataFrame:
     """stem and WAV bytes of whole recordings, for a binary sink; each recording is assembled in one task."""
 
