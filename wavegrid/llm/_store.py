@@ -6,6 +6,7 @@ import pickle
 import sys
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -36,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def share(spark: SparkSession, value: object) -> Callable[[], object]:
     """Broadcast a value of bounded size; the returned function reads it on an executor, which needs no copy of this package."""
-    box = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(box.value)
+    box = spark.sparkContext.broadcast(zlib.compress(cloudpickle.dumps(value), 1))
+    return lambda: pickle.loads(zlib.decompress(box.value))
 
 
 def drop(*tables: DataFrame) -> None:
@@ -62,14 +63,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return table
 
 
-def give_back() -> None:
+def give_back(collect: bool = True) -> None:
     """Return a worker's freed memory to the system, as workers live on and later stages share their executor."""
     import ctypes
     import gc
 
     import pyarrow as pa
 
-    gc.collect()
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

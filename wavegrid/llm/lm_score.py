@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavegrid.llm import _blocks as B
-from wavegrid.llm._store import materialise, share, ship
+from wavegrid.llm._store import give_back, materialise, share, ship
 from wavegrid.llm._text import Words, chunks, mix64, spaced
 
 #: Bytes of context. A gram, DEPTH bytes and the next, is packed newest context byte first, next byte last.
@@ -40,7 +40,7 @@ DEPTH = 6
 #: Depths 0 to TOP are summed at the driver; below them, subtrees belong to ranges.
 TOP = 2
 #: Grams that a range works on at once, about.
-SLICE = 1 << 18
+SLICE = 1 << 17
 _GRAM, _WORD, _NODE = 0, 1, 2
 
 
@@ -226,6 +226,8 @@ def _sender(ranges: int):
             r = _ranges_of(kind, k, ranges)
             order = _by_range(r)
             rows += B.entries(key[0].as_py(), kind, r[order], k[order], c[order].astype(np.uint64))
+        del found, texts, gram, w, tally, k, c, r, order
+        give_back(collect=False)
         return B.table(rows, B.ENTRY_FIELDS)
 
     return send
@@ -276,6 +278,8 @@ def _answerer(shared):
                 value[part] = np.rint(-_FINE * top.code(k[part], tree.ones, tree.seen))
             for b, mine in zip(blocks, keys, strict=True):
                 rows.append({"block": b, "kind": kind, "range": owner, "values": B.pack(value[B.find(k, mine)[0]])})
+        del top, keys, k, c, value
+        give_back(collect=False)
         return B.table(rows, [("block", pa.int32()), ("kind", pa.int32()), ("range", pa.int32()), ("values", pa.binary())])
 
     return answer
@@ -322,6 +326,8 @@ def _finisher(total: int, vocabulary: int, texts_learned: int, ranges: int):
             k, v = tables[_GRAM]
             code = np.repeat(v[B.find(k, gram[start])[0]], np.diff(start, append=len(gram)))
             out["n_bytes"][a:b], out["score"][a:b] = size, np.bincount(owner, weights=code, minlength=b - a) / -_FINE
+        del texts, words, tables, found, data, k, v, gram, both, code
+        give_back(collect=False)
         return pa.table({"doc_id": pa.array(docs.column("doc_id").to_pylist(), pa.int64()), **{k: pa.array(x) for k, x in out.items()}})
 
     return finish
