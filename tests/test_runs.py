@@ -169,6 +169,15 @@ def test_exact_quantiles_and_places(spark):
     assert all(r.p == sum(b <= r.id for b in bounds) for r in got)
 
 
+def test_robust_scores_of_hot_rows(spark):
+    from wavegrid.operators import normalise
+
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(k, float(v)) for k in "ab" for v in [*rng.normal(size=40), 1.0, 1.0]], "k string, v double")
+    scores = lambda hot: sorted((r.k, r.v, round(r.score, 9)) for r in normalise.robust_scores(df, "k", "v", hot=hot).collect())
+    assert scores(True) == scores(False) and df.columns == [c for c in normalise.robust_scores(df, "k", "v").columns if c != "score"]
+
+
 def test_pooled_vectors(spark):
     v = [[float(i), 1.0] for i in range(10)]
     df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>").repartition(3)

@@ -37,13 +37,18 @@ def scaled_to_unit(cells: DataFrame, key: str, value: str, percent: float = 99.5
     return cells.join(p, key, "left").withColumn("v", F.least(F.col(value) / F.greatest(F.coalesce("__p", F.lit(0.0)), F.lit(1e-6)), F.lit(1.0))).drop("__p")
 
 
-def robust_scores(cells: DataFrame, row: str, value: str, limit: float = 6.0) -> DataFrame:
-    """(v - median) / (1.4826 * MAD) of its row, clipped to +-limit."""
-    m = quantiles(cells, row, value, [0.5], "__median")  # one row for each row of the picture
-    off = cells.join(m, row).withColumn("__off", F.abs(F.col(value) - F.col("__median")[0]))
-    mad = quantiles(off, row, "__off", [0.5], "__mad")
+def robust_scores(cells: DataFrame, row: str, value: str, limit: float = 6.0, hot: bool = False) -> DataFrame:
+    """(v - median) / (1.4826 * MAD) of its row, clipped to +-limit.
+
+    A row's distinct values, counted before the shuffle, meet in one task. Where they do not fit there, ``hot`` finds the
+    same medians range by range, in more stages.
+    """
+    plain = lambda df, v, name: df.groupBy(row).agg(F.array(F.percentile(v, 0.5)).alias(name))
+    middle = (lambda df, v, name: quantiles(df, row, v, [0.5], name)) if hot else plain
+    off = cells.join(middle(cells, value, "__median"), row).withColumn("__off", F.abs(F.col(value) - F.col("__median")[0]))
     z = (F.col(value) - F.col("__median")[0]) / F.greatest(1.4826 * F.col("__mad")[0], F.lit(1e-9))
-    return off.join(mad, row).withColumn("score", F.least(F.greatest(z, F.lit(-limit)), F.lit(limit))).drop("__off", "__median", "__mad")
+    scored = off.join(middle(off, "__off", "__mad"), row).withColumn("score", F.least(F.greatest(z, F.lit(-limit)), F.lit(limit)))
+    return scored.drop("__off", "__median", "__mad")
 
 
 def palette_table(spark, stops: list[str]) -> DataFrame:

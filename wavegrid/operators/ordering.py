@@ -20,7 +20,8 @@ def range_of(x: Column, bounds: Sequence[float | int]) -> Column:
         return F.lit(0)
     side = max(1, math.isqrt(len(bounds)))
     parts = [bounds[i : i + side] for i in range(0, len(bounds), side)]
-    up_to = lambda values: F.size(F.filter(values, lambda b: b <= x))
+    # a sum, as the optimiser draws wrong conclusions from size(filter(...)) on the other side of a join
+    up_to = lambda values: F.aggregate(values, F.lit(0), lambda s, b: s + F.when(b <= x, 1).otherwise(0))
     part = up_to(F.array(*[F.lit(p[0]) for p in parts]))
     inner = F.element_at(F.array(*[F.array(*[F.lit(b) for b in p]) for p in parts]), F.greatest(part, F.lit(1)))
     return F.when(part == 0, 0).otherwise((part - 1) * side + up_to(inner))
