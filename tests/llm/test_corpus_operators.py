@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +234,42 @@ def test_lm_score_in_small_slices(spark, docs, monkeypatch):
         assert a == pytest.approx(b, rel=1e-9) if a[0] is not None else True
 
 
+def test_lm_score_holds_a_block_in_parts():
+    """Repeated keys are merged early, batches hold a part of a block's keys, and a look-up holds few copies of its text."""
+    B, rng = lm_score.B, random.Random(3)
+    tally, keys = B.Tally(), np.arange(100_000, dtype=np.uint64)
+    for _ in range(40):
+        tally.add(keys, np.ones(len(keys), np.int64))
+        assert sum(x.nbytes for x in tally.keys + tally.counts) <= 40 * len(keys)
+    assert [x.tolist() for x in tally.total()] == [keys.tolist(), [40] * len(keys)]
+
+    lines, ranges, key = [sentence(rng, 12, "abcdefghijklmno") for _ in range(9000)], 24, (pa.scalar(5, pa.int32()),)
+    docs = pa.table({"doc_id": list(range(2500)), "text": [" ".join(rng.choice(lines) for _ in range(80)) for _ in range(2500)], "learn": [i % 5 > 0 for i in range(2500)]})
+    size, answers = sum(map(len, docs.column("text").to_pylist())), []
+    grams = np.unique(lm_score.stream(lm_score.spaced(B.texts_of(docs)))[0])
+    words = np.unique(lm_score.Words(B.texts_of(docs)).hash)
+    for kind, k in ((lm_score._GRAM, grams), (lm_score._WORD, words)):
+        r = lm_score._ranges_of(kind, k, ranges)
+        answers += [{"kind": kind, "range": x, "values": B.pack(k[r == x].astype(lm_score._VALUE[kind]) % 1000)} for x in range(ranges)]
+    answers = pa.Table.from_pylist(answers)
+    tracemalloc.start()
+    out = lm_score._finisher(10, 10, 1, ranges)(docs, answers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    one = lm_score.stream(lm_score.spaced(B.texts_of(docs.slice(7, 1))))[0]
+    assert out.num_rows == 2500 and out.column("score")[7].as_py() == pytest.approx(-int((one.astype(np.uint32) % 1000).sum()) / lm_score._FINE)
+    assert peak < 10 * size
+
+    batches = list(lm_score._sender(ranges)(key, iter(docs.to_batches(max_chunksize=900))))
+    sent = pa.Table.from_batches(batches)
+    assert max(b.nbytes for b in batches) < sent.nbytes / 8 and sent.num_rows == 2 * ranges
+    for kind, want in ((lm_score._GRAM, grams), (lm_score._WORD, words)):
+        _, keys, k, c = lm_score._merged(sent, kind)
+        assert k.tolist() == want.tolist() and sum(map(len, keys)) == len(want)
+        taught = [x for x, t in zip(B.texts_of(docs), docs.column("learn").to_pylist(), strict=True) if t]
+        assert c.sum() == (lm_score.Words(taught).counts.sum() if kind == lm_score._WORD else sum(len(x) for x in lm_score.spaced(taught)))
+
+
 def test_counts_beyond_32_bits():
     keys, counts = np.array([3, 9, 1 << 63], np.uint64), np.array([1, (1 << 33) + 5, 2], np.uint64)
     rows = lm_score.B.entries(0, lm_score._WORD, lm_score.B.range_of(keys, 1), keys, counts) * 2

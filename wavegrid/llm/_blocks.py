@@ -98,30 +98,35 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k, c
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in the smallest unsigned type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts.astype(np.uint8)
+
+
 class Tally:
-    """Distinct keys and sums of their counts, gathered part by part; merged whenever MERGE keys wait, which bounds its memory."""
+    """Distinct keys and sums of their counts, gathered bit by bit; merged when as many keys wait as are merged, and MERGE at least."""
 
-    MERGE = 1 << 22
+    MERGE = 1 << 16
 
     def __init__(self) -> None:
         self.keys: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
-        self.waiting = 0
+        self.waiting = self.merged = 0
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
         """keys ascend, without repeats."""
-        self.keys.append(keys)
-        self.counts.append(counts)
+        self.keys.append(keys.copy())  # a slice would hold the whole array
+        self.counts.append(narrow(counts))
         self.waiting += len(keys)
-        if self.waiting > self.MERGE and len(self.keys) > 1:
-            merged = self.total()
-            self.keys, self.counts, self.waiting = [merged[0]], [merged[1]], 0
+        if self.waiting > max(self.MERGE, self.merged):
+            k, c = self.total()
+            self.keys, self.counts, self.waiting, self.merged = [k], [narrow(c)], 0, len(k)
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
         return summed(self.keys, self.counts)
 
 
-def texts_of(t: pa.Table) -> list[bytes | None]:
+def texts_of(t: pa.Table | pa.RecordBatch) -> list[bytes | None]:
     return t.column("text").cast(pa.binary()).to_pylist()
 
 

@@ -41,6 +41,8 @@ DEPTH = 6
 TOP = 2
 #: Grams that a range works on at once, about.
 SLICE = 1 << 17
+#: Runs of ranges that a block's keys are gathered, sent and looked up in.
+PARTS = 16
 _GRAM, _WORD, _NODE = 0, 1, 2
 
 
@@ -208,27 +210,53 @@ def _by_range(r: np.ndarray) -> np.ndarray:
     return np.argsort(r.astype(np.uint16) if not len(r) or r.max() < 1 << 16 else r, kind="stable")
 
 
-def _sender(ranges: int):
-    def send(key, t):
-        texts, learn = B.texts_of(t), np.array(t.column("learn").to_pylist(), bool)
-        found = {_GRAM: B.Tally(), _WORD: B.Tally()}
-        for a, b in chunks(texts):
-            rows = spaced(texts[a:b])
-            gram, n = stream(rows)
-            w = Words([], rows=rows)
-            for kind, x, taught in ((_GRAM, gram, np.repeat(learn[a:b], n)), (_WORD, w.hash, learn[a:b][w.text])):
-                for part in (taught, ~taught):
-                    u, c = B.counted(x[part])
-                    found[kind].add(u, c if part is taught else np.zeros(len(u), np.int64))
-        rows = []
-        for kind, tally in found.items():
-            k, c = tally.total()
-            r = _ranges_of(kind, k, ranges)
+class _Tallies:
+    """Distinct keys of a block with their counts, in PARTS runs of whole ranges, so that no step works on all keys at once."""
+
+    def __init__(self, kind: int, ranges: int) -> None:
+        self.kind, self.ranges = kind, ranges
+        self.parts = [B.Tally() for _ in range(min(PARTS, ranges))]
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        """keys ascend, without repeats."""
+        part = (_ranges_of(self.kind, keys, self.ranges) * len(self.parts) // self.ranges).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        keys, counts = keys[order], counts[order]
+        ends = np.cumsum(np.bincount(part, minlength=len(self.parts)))
+        for tally, a, b in zip(self.parts, [0, *ends[:-1]], ends, strict=True):
+            if a < b:
+                tally.add(keys[a:b], counts[a:b])
+
+    def drain(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ranges, keys, counts) of each part, by range, then key; a part is forgotten as it is given."""
+        while self.parts:
+            k, c = self.parts.pop(0).total()
+            r = _ranges_of(self.kind, k, self.ranges)
             order = _by_range(r)
-            rows += B.entries(key[0].as_py(), kind, r[order], k[order], c[order].astype(np.uint64))
-        del found, texts, gram, w, tally, k, c, r, order
+            yield r[order], k[order], c[order]
+
+
+def _sender(ranges: int):
+    def send(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {kind: _Tallies(kind, ranges) for kind in (_GRAM, _WORD)}
+        for t in batches:
+            texts, learn = B.texts_of(t), np.array(t.column("learn").to_pylist(), bool)
+            del t
+            for a, b in chunks(texts):
+                rows = spaced(texts[a:b])
+                gram, n = stream(rows)
+                w = Words([], rows=rows)
+                for kind, x, taught in ((_GRAM, gram, np.repeat(learn[a:b], n)), (_WORD, w.hash, learn[a:b][w.text])):
+                    for part in (taught, ~taught):
+                        u, c = B.counted(x[part])
+                        found[kind].add(u, c if part is taught else np.zeros(len(u), np.int64))
+                del rows, gram, w, x, taught, part, u, c
+            del texts
+        for kind, tallies in found.items():
+            for r, k, c in tallies.drain():
+                yield from B.table(B.entries(key[0].as_py(), kind, r, k, c.astype(np.uint64)), B.ENTRY_FIELDS).to_batches()
+                del r, k, c
         give_back(collect=False)
-        return B.table(rows, B.ENTRY_FIELDS)
 
     return send
 
@@ -290,43 +318,58 @@ _SCORES = "doc_id long, n_tokens long, n_known long, n_bytes long, base_score do
 
 def _finisher(total: int, vocabulary: int, texts_learned: int, ranges: int):
     def finish(docs, answers):
-        kinds, owners, data = (answers.column(c).to_pylist() for c in ("kind", "range", "values"))
+        kinds, owners = (answers.column(c).to_pylist() for c in ("kind", "range"))
         texts = spaced(B.texts_of(docs))
         n = len(texts)
-        found, words = {_GRAM: [], _WORD: []}, []
+        found, words = {kind: _Tallies(kind, ranges) for kind in (_GRAM, _WORD)}, []
         for a, b in chunks(texts, TOGETHER):  # words are few and kept numbered; grams, one a byte, are taken again below
             w = Words([], rows=texts[a:b])
             u, at = np.unique(w.hash, return_inverse=True)
-            words.append((at.astype(np.int32), u, w.text.astype(np.int32)))
-            found[_WORD].append(u)
-            found[_GRAM].append(B.counted(stream(texts[a:b])[0])[0])
+            words.append((at.astype(np.int32), u, w.counts))
+            found[_WORD].add(u, np.ones(len(u), np.uint8))
+            u = B.counted(stream(texts[a:b])[0])[0]
+            found[_GRAM].add(u, np.ones(len(u), np.uint8))
+        del w, u, at
         tables = {}
-        for kind, parts in found.items():
-            k, _ = B.counted(np.concatenate(parts))
+        for kind, tallies in found.items():
+            keys, values = [], []
             # a range's values stand in the order of the block's keys in it
-            mine = sorted((owners[i], i) for i, x in enumerate(kinds) if x == kind)
-            v = np.concatenate([B.unpack(data[i], _VALUE[kind]) for _, i in mine]) if mine else np.empty(0, _VALUE[kind])
-            if len(v) != len(k):
-                raise ValueError(f"{len(v)} answers for {len(k)} keys of a block")
-            value = np.empty_like(v)
-            value[_by_range(_ranges_of(kind, k, ranges))] = v
-            tables[kind] = k, value
+            mine = iter(sorted((owners[i], i) for i, x in enumerate(kinds) if x == kind))
+            for r, k, _ in tallies.drain():
+                for owner, size in zip(*B.counted(r), strict=True):
+                    asked, i = next(mine, (None, None))
+                    v = B.unpack(answers.column("values")[i].as_buffer(), _VALUE[kind]) if asked == owner else ()
+                    if len(v) != size:
+                        raise ValueError(f"{len(v)} answers of range {asked} for {size} keys of a block in range {owner}")
+                    values.append(v)
+                keys.append(k)
+            if next(mine, None):
+                raise ValueError("answers to keys that a block does not hold")
+            k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            order = np.argsort(k)
+            tables[kind] = k[order], np.concatenate(values)[order] if values else np.empty(0, _VALUE[kind])
+            del keys, values, k, order
         log_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
         out = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known", "n_bytes")} | {k: np.zeros(n) for k in ("base_score", "score")}
-        for (a, b), (at, u, owner) in zip(chunks(texts, TOGETHER), words, strict=True):
+        for (a, b), (at, u, held) in zip(chunks(texts, TOGETHER), words, strict=True):
             k, v = tables[_WORD]
             c = v[B.find(k, u)[0]].astype(np.float64) if len(u) else np.empty(0)
-            out["n_tokens"][a:b] = np.bincount(owner, minlength=b - a) + 1
+            owner = np.repeat(np.arange(b - a), held)
+            out["n_tokens"][a:b] = held + 1
             out["n_known"][a:b] = np.bincount(owner, weights=(c > 0)[at], minlength=b - a) + (texts_learned > 0)
             out["base_score"][a:b] = np.bincount(owner, weights=log_of(c)[at], minlength=b - a) + log_of(np.float64(texts_learned))
             gram, size = stream(texts[a:b])
-            both = np.sort(gram << np.uint64(64 - 8 * (DEPTH + 1)) | np.repeat(np.arange(b - a, dtype=np.uint64), size))
-            gram, owner = both >> np.uint64(64 - 8 * (DEPTH + 1)), (both & np.uint64(TOGETHER - 1)).astype(np.int64)
+            both = gram << np.uint64(64 - 8 * (DEPTH + 1)) | np.repeat(np.arange(b - a, dtype=np.uint64), size)
+            del gram
+            both.sort()
+            gram, owner = both >> np.uint64(64 - 8 * (DEPTH + 1)), (both & np.uint64(TOGETHER - 1)).astype(np.min_scalar_type(TOGETHER - 1))
+            del both
             start = np.concatenate(([0], np.flatnonzero(gram[1:] != gram[:-1]) + 1))
             k, v = tables[_GRAM]
             code = np.repeat(v[B.find(k, gram[start])[0]], np.diff(start, append=len(gram)))
             out["n_bytes"][a:b], out["score"][a:b] = size, np.bincount(owner, weights=code, minlength=b - a) / -_FINE
-        del texts, words, tables, found, data, k, v, gram, both, code
+            del gram, owner, start, code
+        del texts, words, tables, found, k, v
         give_back(collect=False)
         return pa.table({"doc_id": pa.array(docs.column("doc_id").to_pylist(), pa.int64()), **{k: pa.array(x) for k, x in out.items()}})
 
