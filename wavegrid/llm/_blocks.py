@@ -113,16 +113,19 @@ class Tally:
         self.counts: list[np.ndarray] = []
         self.waiting = self.merged = 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """keys ascend, without repeats."""
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """keys ascend, without repeats; all calls give counts, or none does."""
         self.keys.append(keys.copy())  # a slice would hold the whole array
-        self.counts.append(narrow(counts))
+        if counts is not None:
+            self.counts.append(narrow(counts))
         self.waiting += len(keys)
         if self.waiting > max(self.MERGE, self.merged):
             k, c = self.total()
-            self.keys, self.counts, self.waiting, self.merged = [k], [narrow(c)], 0, len(k)
+            self.keys, self.counts, self.waiting, self.merged = [k], [] if c is None else [narrow(c)], 0, len(k)
 
-    def total(self) -> tuple[np.ndarray, np.ndarray]:
+    def total(self) -> tuple[np.ndarray, np.ndarray | None]:
+        if self.keys and not self.counts:
+            return counted(np.concatenate(self.keys))[0], None
         return summed(self.keys, self.counts)
 
 

@@ -48,6 +48,8 @@ _GRAM, _WORD, _NODE = 0, 1, 2
 
 #: Texts that are scored together: a gram of DEPTH + 1 bytes and a text's number fill 64 bits, which sort without an index.
 TOGETHER = 1 << (8 * (7 - DEPTH))
+#: Texts that are worked on at once; the temporary arrays hold many times their bytes.
+FEW = TOGETHER // 2
 
 
 def stream(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -210,6 +212,14 @@ def _by_range(r: np.ndarray) -> np.ndarray:
     return np.argsort(r.astype(np.uint16) if not len(r) or r.max() < 1 << 16 else r, kind="stable")
 
 
+def _few(t: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first row, row after the last, spaced texts) of FEW rows at most."""
+    for start in range(0, t.num_rows, FEW):
+        rows = spaced(B.texts_of(t.slice(start, FEW)))
+        for a, b in chunks(rows, FEW):
+            yield start + a, start + b, rows[a:b]
+
+
 class _Tallies:
     """Distinct keys of a block with their counts, in PARTS runs of whole ranges, so that no step works on all keys at once."""
 
@@ -217,33 +227,31 @@ class _Tallies:
         self.kind, self.ranges = kind, ranges
         self.parts = [B.Tally() for _ in range(min(PARTS, ranges))]
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """keys ascend, without repeats."""
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        """keys ascend, without repeats; without counts, only the keys matter."""
         part = (_ranges_of(self.kind, keys, self.ranges) * len(self.parts) // self.ranges).astype(np.uint16)
         order = np.argsort(part, kind="stable")
-        keys, counts = keys[order], counts[order]
+        keys, counts = keys[order], None if counts is None else counts[order]
         ends = np.cumsum(np.bincount(part, minlength=len(self.parts)))
         for tally, a, b in zip(self.parts, [0, *ends[:-1]], ends, strict=True):
             if a < b:
-                tally.add(keys[a:b], counts[a:b])
+                tally.add(keys[a:b], None if counts is None else counts[a:b])
 
-    def drain(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def drain(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
         """(ranges, keys, counts) of each part, by range, then key; a part is forgotten as it is given."""
         while self.parts:
             k, c = self.parts.pop(0).total()
             r = _ranges_of(self.kind, k, self.ranges)
             order = _by_range(r)
-            yield r[order], k[order], c[order]
+            yield r[order], k[order], None if c is None else c[order]
 
 
 def _sender(ranges: int):
     def send(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {kind: _Tallies(kind, ranges) for kind in (_GRAM, _WORD)}
         for t in batches:
-            texts, learn = B.texts_of(t), np.array(t.column("learn").to_pylist(), bool)
-            del t
-            for a, b in chunks(texts):
-                rows = spaced(texts[a:b])
+            learn = np.array(t.column("learn").to_pylist(), bool)
+            for a, b, rows in _few(t):
                 gram, n = stream(rows)
                 w = Words([], rows=rows)
                 for kind, x, taught in ((_GRAM, gram, np.repeat(learn[a:b], n)), (_WORD, w.hash, learn[a:b][w.text])):
@@ -251,7 +259,7 @@ def _sender(ranges: int):
                         u, c = B.counted(x[part])
                         found[kind].add(u, c if part is taught else np.zeros(len(u), np.int64))
                 del rows, gram, w, x, taught, part, u, c
-            del texts
+            del t
         for kind, tallies in found.items():
             for r, k, c in tallies.drain():
                 yield from B.table(B.entries(key[0].as_py(), kind, r, k, c.astype(np.uint64)), B.ENTRY_FIELDS).to_batches()
@@ -319,16 +327,14 @@ _SCORES = "doc_id long, n_tokens long, n_known long, n_bytes long, base_score do
 def _finisher(total: int, vocabulary: int, texts_learned: int, ranges: int):
     def finish(docs, answers):
         kinds, owners = (answers.column(c).to_pylist() for c in ("kind", "range"))
-        texts = spaced(B.texts_of(docs))
-        n = len(texts)
+        n = docs.num_rows
         found, words = {kind: _Tallies(kind, ranges) for kind in (_GRAM, _WORD)}, []
-        for a, b in chunks(texts, TOGETHER):  # words are few and kept numbered; grams, one a byte, are taken again below
-            w = Words([], rows=texts[a:b])
+        for _, _, rows in _few(docs):  # words are few and kept numbered; grams, one a byte, are taken again below
+            w = Words([], rows=rows)
             u, at = np.unique(w.hash, return_inverse=True)
             words.append((at.astype(np.int32), u, w.counts))
-            found[_WORD].add(u, np.ones(len(u), np.uint8))
-            u = B.counted(stream(texts[a:b])[0])[0]
-            found[_GRAM].add(u, np.ones(len(u), np.uint8))
+            found[_WORD].add(u)
+            found[_GRAM].add(B.counted(stream(rows)[0])[0])
         del w, u, at
         tables = {}
         for kind, tallies in found.items():
@@ -345,20 +351,22 @@ def _finisher(total: int, vocabulary: int, texts_learned: int, ranges: int):
                 keys.append(k)
             if next(mine, None):
                 raise ValueError("answers to keys that a block does not hold")
-            k = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-            order = np.argsort(k)
-            tables[kind] = k[order], np.concatenate(values)[order] if values else np.empty(0, _VALUE[kind])
-            del keys, values, k, order
+            keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+            order = np.argsort(keys)
+            keys = keys[order]
+            values = np.concatenate(values) if values else np.empty(0, _VALUE[kind])
+            tables[kind] = keys, values[order]
+            del keys, values, order
         log_of = lambda c: np.log10((c + 0.5) / (total + 0.5 * (vocabulary + 1)))
         out = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known", "n_bytes")} | {k: np.zeros(n) for k in ("base_score", "score")}
-        for (a, b), (at, u, held) in zip(chunks(texts, TOGETHER), words, strict=True):
+        for (a, b, rows), (at, u, held) in zip(_few(docs), words, strict=True):
             k, v = tables[_WORD]
             c = v[B.find(k, u)[0]].astype(np.float64) if len(u) else np.empty(0)
             owner = np.repeat(np.arange(b - a), held)
             out["n_tokens"][a:b] = held + 1
             out["n_known"][a:b] = np.bincount(owner, weights=(c > 0)[at], minlength=b - a) + (texts_learned > 0)
             out["base_score"][a:b] = np.bincount(owner, weights=log_of(c)[at], minlength=b - a) + log_of(np.float64(texts_learned))
-            gram, size = stream(texts[a:b])
+            gram, size = stream(rows)
             both = gram << np.uint64(64 - 8 * (DEPTH + 1)) | np.repeat(np.arange(b - a, dtype=np.uint64), size)
             del gram
             both.sort()
@@ -369,7 +377,7 @@ def _finisher(total: int, vocabulary: int, texts_learned: int, ranges: int):
             code = np.repeat(v[B.find(k, gram[start])[0]], np.diff(start, append=len(gram)))
             out["n_bytes"][a:b], out["score"][a:b] = size, np.bincount(owner, weights=code, minlength=b - a) / -_FINE
             del gram, owner, start, code
-        del texts, words, tables, found, k, v
+        del rows, words, tables, found, k, v
         give_back(collect=False)
         return pa.table({"doc_id": pa.array(docs.column("doc_id").to_pylist(), pa.int64()), **{k: pa.array(x) for k, x in out.items()}})
 
