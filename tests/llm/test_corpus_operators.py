@@ -314,6 +314,36 @@ def test_fingerprint_of_null_ids(spark):
     assert sorted(r.n_chars for r in out) == [1, 1, 3, 3] and [r.doc_id for r in out].count(None) == 2
 
 
+def generated_rows(node):
+    """Rows that explode made in a finished plan."""
+    name, children = node.nodeName(), node.children()
+    below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else [children.apply(i) for i in range(children.size())]
+    return (node.metrics().apply("numOutputRows").value() if name.startswith("Generate") else 0) + sum(map(generated_rows, below))
+
+
+def test_fingerprint_work_is_by_words_not_by_samples(spark):
+    texts = [" ".join(f"{d} w{i % 300}" for i in range(500)) for d in range(20)]
+    df = fingerprint.signatures(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), ["id"])
+    assert len(df.collect()) == len(texts)
+    assert generated_rows(df._jdf.queryExecution().executedPlan()) == 2 * 1000 * len(texts)
+
+
+@pytest.mark.parametrize("size", [3, 40])
+def test_likeness_follows_the_binomial_law(spark, size):
+    rng, pairs, true = random.Random(size), [], []
+    for p in range(400):
+        a, b = (Counter(f"{p}-{rng.randrange(size)}" for _ in range(2 * size)) for _ in "ab")
+        pairs.append((p, " ".join(a.elements()), " ".join(b.elements())))
+        true.append(sum((a & b).values()) / sum((a | b).values()))
+    df = spark.createDataFrame(pairs, "id long, a string, b string")
+    a, b = (fingerprint.signatures(df.select("id", F.col(c).alias("text")), ["id"]).withColumnRenamed("signature", c) for c in "ab")
+    near = {r.id: r.x for r in a.join(b, "id").select("id", fingerprint.likeness(F.col("a"), F.col("b")).alias("x")).collect()}
+    errors, true = np.array([near[p] for p in range(400)]) - true, np.array(true)
+    spread = true * (1 - true) / fingerprint.SAMPLES
+    assert abs(errors.sum()) < 4 * math.sqrt(spread.sum())
+    assert 0.7 < (errors**2).sum() / spread.sum() < 1.3  # 1 give or take 0.07
+
+
 # 5 ---------------------------------------------------------------------------------------------------
 
 

@@ -1,15 +1,16 @@
 """Operator 4, document fingerprints by consistent weighted sampling.
 
-Built of SQL functions only. A document is a bag of lower-cased words weighted by their counts. For
-each of K samples every word draws r and c from Gamma(2, 1) and b from [0, 1), all from hashes of the
-word; with weight S it yields t = floor(ln S / r + b) and ln a = ln c - r * (t - b + 1), and the sample
-is the (word, t) with the least a (Ioffe's scheme). Two documents agree in a sample with probability
-sum of min / sum of max of their weights, the generalised Jaccard similarity. Signatures hold 32 bits
-of each sample; likeness is the share that agree.
-
-A sample's least a and its 32 bits are one long; each weighted word makes one row for each sample, and
-the minima of these longs by document and sample, in generated code, give the signature. The rows of a
-document stay in one partition from the join with its successor on.
+Built of SQL functions only. A document is a bag of lower-cased words weighted by their counts. As
+weights are whole numbers, the i-th occurrence of a word is an element (word, i) of its own, and a
+document that has a word n times holds (word, 1) to (word, n). Each of K samples gives every element a
+random place by hashing, the same in all documents, and takes the element with the least. Two documents
+agree in a sample with probability sum of min / sum of max of their weights, the generalised Jaccard
+similarity; samples are independent, so a pair's likeness, the share that agree, follows the binomial
+law. Pairs that share frequent words err together. Signatures hold 32 bits of each sample.
+
+A hash of 64 bits serves two samples: for one its high half is the place and its low half the name, for
+the other the reverse. Each element is one row, and the K minima by document, in generated code, give the
+signature. The rows of a document stay in one partition from the join with its successor on.
 
 Defined cases: null text counts as empty; a document without words has the fingerprint of K zero
 samples, alike to its own kind (1.0) and to no other; rows are ordered by (doc_id, hash of text), nulls
@@ -35,35 +36,23 @@ _KEYS = ["__id", "__none", "__hash"]
 _NEXT = ["__nid", "__nnone", "__nhash"]
 
 
-def _unit(h: Column, shift: int) -> Column:
-    """A number in (0, 1) from 21 bits of a hash."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << 21) - 1)) + F.lit(0.5)) * F.lit(2.0**-21)
-
-
-def sample(word: Column, log_weight: Column, k: Column) -> Column:
-    """One weighted word's entry for sample k: ln a in the high half, 32 bits of (word, t) in the low half."""
-    h, g = F.xxhash64(word, 2 * k), F.xxhash64(word, 2 * k + 1)
-    r = -F.log(_unit(h, 0) * _unit(h, 21))
-    c = -F.log(_unit(h, 42) * _unit(g, 0))
-    b = _unit(g, 21)
-    t = F.floor(log_weight / r + b)
-    log_a = F.log(c) - r * (t - b + 1.0)
-    place = F.greatest(F.lit(0).cast("long"), F.floor((log_a + 100.0) * F.lit(float(1 << 22))))
-    name = F.shiftrightunsigned(g, 32).bitwiseXOR(t * 0x9E3779B1).bitwiseAND(F.lit(0xFFFFFFFF))
-    return F.call_function("shiftleft", place, F.lit(32)).bitwiseOR(name)
-
-
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """keys, signature (array of K longs) of the column text; keys must be unique."""
     words = texts.select(*keys, F.explode_outer(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), 0)).alias("__w"))
     words = words.select(*keys, F.when(F.col("__w").isNotNull(), F.xxhash64("__w")).alias("__w"))
-    weighted = words.groupBy(*keys, "__w").agg(F.log(F.count("__w").cast("double")).alias("__lw"))  # null for the row of no words
-    drawn = weighted.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    least = F.min(sample(F.col("__w"), F.col("__lw"), F.col("__k")))  # not under a condition, where common terms would be computed again
-    each = drawn.groupBy(*keys, "__k").agg(least.bitwiseAND(F.lit(0xFFFFFFFF)).alias("__s"))
-    row = F.struct("__k", F.coalesce("__s", F.lit(0).cast("long")).alias("s"))
-    whole = F.array_sort(F.collect_list(row))  # K entries
-    return each.groupBy(*keys).agg(whole.alias("__all")).select(*keys, F.transform("__all", lambda x: x["s"]).alias("signature"))
+    weighted = words.groupBy(*keys, "__w").agg(F.count("__w").alias("__n"))  # 0 in the row of no words
+    elements = weighted.select(*keys, "__w", "__n", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("__n", F.lit(1)))).alias("__i"))
+    elements = elements.select(*keys, "__n", F.xxhash64("__w", "__i").alias("__e"))
+    draws = [F.xxhash64(F.col("__e").bitwiseXOR(F.lit(j).cast("long"))).alias(f"__g{j}") for j in range((samples + 1) // 2)]
+    drawn = elements.select(*keys, "__n", *draws)  # a step of its own: each hash is made once and read twice
+    least = [F.min(_turned(F.col(f"__g{k // 2}")) if k % 2 else F.col(f"__g{k // 2}")).alias(f"__s{k}") for k in range(samples)]
+    whole = F.array(*[F.when(F.col("__n") > 0, F.col(f"__s{k}").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(0) for k in range(samples)])
+    return drawn.groupBy(*keys).agg(F.max("__n").alias("__n"), *least).select(*keys, whole.alias("signature"))
+
+
+def _turned(h: Column) -> Column:
+    """The halves of a long, exchanged."""
+    return F.shiftleft(h, 32).bitwiseOR(F.shiftrightunsigned(h, 32))
 
 
 def likeness(a: Column, b: Column) -> Column:
