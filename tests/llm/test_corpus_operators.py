@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from wavegrid.llm import chat_format, fingerprint, language_id, lm_score, mixing, ngram_join, packing, quality_rules, queries, sharding, url_filter
+from wavegrid.llm import _blocks, _store, chat_format, fingerprint, language_id, lm_score, mixing, ngram_join, packing, quality_rules, queries, sharding, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, block int, copies int, score double, bin_id long"
@@ -563,6 +563,32 @@ def test_ngram_join_across_chunks(spark):
     assert Counter((r.doc_id, r.n_links) for r in out) == plain_links(rows, 3, 80)
 
 
+def test_join_functions_send_their_results_in_parts():
+    """What the JVM holds of a block at once is a part of it."""
+    rng = random.Random(5)
+    docs = pa.table({"doc_id": pa.array(range(600), pa.int64()), "text": [" ".join(rng.choices("abcdefghij", k=600)) for _ in range(600)]})
+    send = ngram_join._sender(4, 64)
+    whole, parts = send((pa.scalar(3),), docs), _store.lean(send)((pa.scalar(3),), docs)
+    answers = ngram_join._answer(None, whole.set_column(4, "counts", [[_blocks.pack(np.full(len(x) // 8, 2, np.uint8)) for x in whole.column("keys").to_pylist()]]))
+    finish = ngram_join._finisher(4, 85, 0)
+    both = [(pa.concat_tables([whole] * 40), None), (finish(docs, answers), _store.lean(finish)(docs, answers))]
+    assert parts.equals(whole)
+    for plain, sent in both:
+        sent = _store.in_parts(plain) if sent is None else sent
+        assert sent.equals(plain) and plain.nbytes > 2 * _store.PART_BYTES
+        assert max(b.nbytes for b in sent.to_batches()) < 1.5 * _store.PART_BYTES
+    assert _store.in_parts(docs.slice(0, 0)).equals(docs.slice(0, 0))
+
+
+def test_ngram_join_in_small_parts(docs, rows, monkeypatch):
+    monkeypatch.setattr(_store, "PART_BYTES", 500)
+    monkeypatch.setattr(ngram_join, "ROWS", 7)
+    out = ngram_join.join_components(docs, 5, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == plain_components(rows, 5, 80)
+    assert Counter((r.doc_id, r.n_links) for r in out) == plain_links(rows, 5, 80)
+    assert {r.doc_id for r in ngram_join.keep_one(docs).collect()} == {c for _, c in plain_components(rows, 5, 80).values()}
+
+
 def test_keep_one(docs, rows, none):
     kept = [r.doc_id for r in ngram_join.keep_one(docs).collect()]
     want = {c for i, (_, c) in plain_components(rows, 5, 80).items()}

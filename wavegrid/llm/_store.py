@@ -8,10 +8,14 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable
+from typing import TYPE_CHECKING
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 _LOCAL: list[str] = []
 #: id of a table's DataFrame -> (the DataFrame, path)
 _WRITTEN: dict[int, tuple[DataFrame, str]] = {}
@@ -79,6 +83,31 @@ def give_back(collect: bool = True) -> None:
         pass
 
 
+#: Bytes of a batch on its way from a worker to the JVM, about.
+PART_BYTES = 1 << 20
+
+
+def in_parts(t: pa.Table) -> pa.Table:
+    """t in chunks of about PART_BYTES. Each travels as a batch of its own, which the JVM holds outside its heap; whole tables there leave gaps that it never returns."""
+    import pyarrow as pa
+
+    rows = max(1, t.num_rows * PART_BYTES // max(1, t.nbytes))
+    return pa.concat_tables([t.slice(at, rows) for at in range(0, t.num_rows, rows)]) if t.num_rows > rows else t
+
+
+def lean(f: Callable[[object, object], pa.Table]) -> Callable[[object, object], pa.Table]:
+    """f, an Arrow function of groups, with its result in parts; a group of over a quarter of PART_BYTES gives its memory back."""
+
+    def run(a, b):
+        held = getattr(a, "nbytes", 0) + b.nbytes
+        out = in_parts(f(a, b))
+        if held > PART_BYTES // 4:
+            give_back()
+        return out
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -194,6 +194,7 @@ def classify(docs: DataFrame, model: Model, margin: float = 0.1) -> DataFrame:
                 part = batch.slice(at, ROWS)
                 lang, score, unsure = predict(part.column(1).to_pylist(), m, margin)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=["doc_id", "lang_pred", "score", "ambiguous"])
+        del m
         give_back()
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
@@ -211,6 +212,7 @@ def keep_clear(docs: DataFrame, model: Model, margin: float = 0.1) -> DataFrame:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 yield part.filter(pa.array(~predict(part.column(text).to_pylist(), m, margin)[2]))
+        del m
         give_back()
 
     return docs.mapInArrow(run, docs.schema)

@@ -41,12 +41,14 @@ from pyspark.sql import types as T
 
 from wavegrid.llm import _blocks as B
 from wavegrid.llm._graph import components
-from wavegrid.llm._store import materialise, ship
+from wavegrid.llm._store import give_back, lean, materialise, ship
 from wavegrid.llm._text import mix64, text_sets
 from wavegrid.llm.words import GAP, spare
 
 #: Largest number of distinct sets that one task compares.
 GROUP = 1000
+#: Rows that get their set key at once; bounds the Python copies of an Arrow batch and the batches that go back.
+ROWS = 512
 
 
 def least_overlap(a: int, b: int, threshold: int) -> int:
@@ -147,7 +149,7 @@ def _sender(width: int, ranges: int):
     return send
 
 
-def _answer(t):
+def _answer(key, t):
     """Document frequency, up to 65535, of every key that two documents hold at least."""
     blocks = t.column("block").to_pylist()
     keys = [B.unpack_keys(x) for x in t.column("keys").to_pylist()]
@@ -296,9 +298,9 @@ def _linked(documents: DataFrame, width: int, threshold: int) -> tuple[DataFrame
     size, histogram = _sizes(documents, width, threshold)
     light = light_boundary(threshold, histogram)
     docs, _, ranges = B.in_blocks(documents, ["doc_id", "text"], size)
-    sent = docs.groupBy("block").applyInArrow(_sender(width, ranges), B.ENTRY)
-    answers = sent.groupBy("range").applyInArrow(_answer, "block int, keys binary, values binary")
-    finished = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finisher(width, threshold, light), _SETS)
+    sent = docs.groupBy("block").applyInArrow(lean(_sender(width, ranges)), B.ENTRY)
+    answers = sent.groupBy("range").applyInArrow(lean(_answer), "block int, keys binary, values binary")
+    finished = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(_finisher(width, threshold, light)), _SETS)
     sets = materialise(finished, "sets")
 
     proven = sets.where("subsets is not null").select("set_key", "n_shingles", F.explode("subsets").alias("s")).select("set_key", "n_shingles", "s.*").distinct()
@@ -308,7 +310,7 @@ def _linked(documents: DataFrame, width: int, threshold: int) -> tuple[DataFrame
     candidates = components(stars[0].unionByName(stars[1]))
     members = sets.where("shared is not null").groupBy("set_key", "n_shingles").agg(F.first("shared").alias("shared"), F.count(F.lit(1)).alias("copies"))
     members = members.join(candidates.select(F.col("node").alias("set_key"), F.col("root").alias("grp")), "set_key")
-    found = materialise(_chunked(members, threshold).groupBy("grp", "a", "b").applyInArrow(_compare(threshold), "u long, v long, n long"), "links")
+    found = materialise(_chunked(members, threshold).groupBy("grp", "a", "b").applyInArrow(lean(_compare(threshold)), "u long, v long, n long"), "links")
 
     roots = components(found.where("v is not null").select("u", "v")).select(F.col("node").alias("set_key"), "root")
     links = found.where("n is not null").groupBy(F.col("u").alias("set_key")).agg(F.sum("n").alias("others"))
@@ -335,10 +337,13 @@ def _with_set_key(documents: DataFrame, width: int, name: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keys = [None] * batch.num_rows
-            for i, s in text_sets([x and x.encode() for x in batch.column(text).to_pylist()], width):
-                keys[i] = _signed(_set_key(s))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, name])
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                keys = [None] * part.num_rows
+                for i, s in text_sets([x and x.encode() for x in part.column(text).to_pylist()], width):
+                    keys[i] = _signed(_set_key(s))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(keys, pa.int64())], names=[*part.schema.names, name])
+        give_back()
 
     return documents.mapInArrow(run, T.StructType([*documents.schema.fields, T.StructField(name, T.LongType())]))
 

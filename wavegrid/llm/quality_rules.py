@@ -353,6 +353,7 @@ def judge(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, bands:
                 part = batch.slice(at, ROWS)
                 out = j(part.column(1).to_pylist(), part.column(2).to_pylist())
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), **{k: pa.array(out[k]) for k in (f.split()[0] for f in _FIELDS.split(", "))}})
+        del j
         give_back()
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
@@ -370,6 +371,7 @@ def keep_good(docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, ban
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 yield part.filter(pa.array(j(part.column(text).to_pylist(), part.column(lang).to_pylist(), False)["kept"]))
+        del j
         give_back()
 
     return docs.mapInArrow(run, docs.schema)
